@@ -60,3 +60,48 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
         F.col("text").alias("_search_text"),
     )
+
+
+def part_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One posting per part: brand as company, name as title, type as deadline text."""
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.col("p_partkey").alias("ingest_seq"),
+        F.col("p_name").alias("title"),
+        F.col("p_brand").alias("company"),
+        F.lit("").alias("url"),
+        F.col("p_type").alias("deadline"),
+    )
+
+
+def landed(postings: DataFrame, content, size=20) -> DataFrame:
+    """Postings bundled into pages of at most `size` records, as the sites deliver them.
+
+    `content` is the record as it stands in the page; `page` numbers the pages.
+    """
+    return (
+        postings.withColumn("page", F.floor(F.col("ingest_seq") / size))
+        .groupBy("page")
+        .agg(F.array_sort(F.collect_list(F.struct("ingest_seq", content.alias("body")))).alias("records"))
+        .select("page", F.transform("records", lambda r: r["body"]).alias("bodies"))
+    )
+
+
+def json_pages(postings: DataFrame, record, wrap) -> DataFrame:
+    """JSON replies: `record` is a struct, `wrap` puts the array of records into the reply."""
+    pages = landed(postings, record)
+    return pages.select("page", F.to_json(wrap(F.col("bodies"))).alias("payload"), F.lit("개발").alias("label"))
+
+
+def html_pages(postings: DataFrame, card, head="", tail="") -> DataFrame:
+    pages = landed(postings, card)
+    html = F.concat(F.lit("<html><body>" + head), F.array_join("bodies", "\n"), F.lit(tail + "</body></html>"))
+    return pages.select("page", F.lit("https://list.example.com/jobs").alias("url"), html.alias("html"), F.lit("개발").alias("label"))
+
+
+def fill(template: str, **columns):
+    """Text with {name} places taken from columns."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[columns[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])

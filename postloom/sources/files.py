@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.codecs import decode_literal
@@ -45,9 +46,14 @@ def read_refined_csv(spark: SparkSession, path) -> DataFrame:
 
 
 def csv_names(spark: SparkSession, folder: str, pattern="*.csv") -> DataFrame:
-    """Names of the listings in a folder, newest name first. Only the directory is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path").distinct().orderBy(F.desc("path"))
+    """Paths of the listings in a folder, newest name first. No file content is read."""
+    try:
+        files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{pattern}")
+    except AnalysisException:  # nothing there
+        return spark.createDataFrame([], "path string")
+    # a listing is one file, or a folder of parts
+    listing = F.regexp_replace("path", r"(\.csv)/part-[^/]*$", "$1")
+    return files.select(listing.alias("path")).distinct().orderBy(F.desc("path"))
 
 
 def newest_csv(spark: SparkSession, folder: str, pattern="*.csv") -> DataFrame:
