@@ -161,12 +161,12 @@ def segments(nodes) -> Column:
 
 def below(nodes, node) -> Column:
     """Descendants of a node, given an array that holds the whole page or a slice of it."""
-    return F.filter(nodes, lambda n: (n["pos"] > node["pos"]) & (n["pos"] <= node["last"]))
+    return let(node, lambda e: F.filter(nodes, lambda n: (n["pos"] > e["pos"]) & (n["pos"] <= e["last"])))
 
 
 def text_of(nodes, node) -> Column:
     """All text of a node run together; null if there is no node."""
-    return F.when(node.isNotNull(), F.array_join(texts(below(nodes, node)), ""))
+    return F.array_join(texts(below(nodes, node)), "")
 
 
 def texts_of(nodes, picked) -> Column:
@@ -199,4 +199,8 @@ def raw_length(nodes, node) -> Column:
 
 def ancestors(nodes, node) -> Column:
     """Holders of a node, nearest first."""
-    return F.reverse(F.filter(nodes, lambda n: (n["pos"] < node["pos"]) & (n["last"] >= node["pos"]) & (n["tag"] != "#text")))
+
+    def of(e):
+        return F.filter(nodes, lambda n: (n["pos"] < e["pos"]) & (n["last"] >= e["pos"]) & (n["tag"] != "#text"))
+
+    return F.reverse(let(node, of))

@@ -124,8 +124,8 @@ PARTS = f"""parts AS (SELECT p_partkey AS ingest_seq, p_name AS title, p_brand A
   pu AS (SELECT *, {UID} AS uid, {TOKENS} AS k FROM parts
     QUALIFY row_number() OVER (PARTITION BY {UID} ORDER BY ingest_seq) = 1),
   heads AS (SELECT * FROM pu QUALIFY row_number() OVER (PARTITION BY k ORDER BY deadline DESC, uid) = 1),
-  keys AS (SELECT *, row_number() OVER (ORDER BY deadline DESC, uid) AS rnk FROM heads),
-  cand AS (SELECT x.k AS ka, y.k AS kb, x.rnk AS ra, y.rnk AS rb FROM keys x JOIN keys y ON x.k < y.k
+  keys AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY deadline DESC, uid) AS rnk FROM heads),
+  cand AS MATERIALIZED (SELECT x.k AS ka, y.k AS kb, x.rnk AS ra, y.rnk AS rb FROM keys x JOIN keys y ON x.k < y.k
     AND 11 * least(length(x.k), length(y.k)) >= 9 * greatest(length(x.k), length(y.k))
     AND levenshtein(x.k, y.k) * 10 <= length(x.k) + length(y.k)),
   dp AS (SELECT ka, kb, ra, rb, 0 AS i, list_transform(range(length(kb) + 1), lambda x: 0) AS cells FROM cand
@@ -133,12 +133,12 @@ PARTS = f"""parts AS (SELECT p_partkey AS ingest_seq, p_name AS title, p_brand A
     SELECT ka, kb, ra, rb, i + 1, list_transform(range(1, length(kb) + 2), lambda j: list_max(list_transform(range(1, j + 1),
       lambda m: CASE WHEN m > 1 AND substring(kb, m - 1, 1) = substring(ka, i + 1, 1) THEN cells[m - 1] + 1 ELSE cells[m] END)))
     FROM dp WHERE i < length(ka)),
-  sim AS (SELECT ka, kb, ra, rb, 200.0 * list_max(cells) / (length(ka) + length(kb)) AS score FROM dp
+  sim AS MATERIALIZED (SELECT ka, kb, ra, rb, 200.0 * list_max(cells) / (length(ka) + length(kb)) AS score FROM dp
     WHERE i = length(ka) AND 200 * list_max(cells) >= 90 * (length(ka) + length(kb)))"""
 put("similar_pairs", f"WITH RECURSIVE {PARTS} SELECT ka AS key_a, kb AS key_b, round(score, 6) AS score FROM sim")
 put("fuzzy_dedup", f"""WITH RECURSIVE {PARTS},
   before AS (SELECT greatest(ra, rb) AS rnk, list(least(ra, rb)) AS smaller FROM sim GROUP BY 1),
-  steps AS (SELECT k.rnk, coalesce(b.smaller, []) AS smaller FROM keys k LEFT JOIN before b USING (rnk)),
+  steps AS MATERIALIZED (SELECT k.rnk, coalesce(b.smaller, []) AS smaller FROM keys k LEFT JOIN before b USING (rnk)),
   pass AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept
     UNION ALL
     SELECT s.rnk, CASE WHEN list_has_any(pass.kept, s.smaller) THEN pass.kept ELSE list_append(pass.kept, s.rnk) END

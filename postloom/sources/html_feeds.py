@@ -111,18 +111,20 @@ def jobkorea(pages: DataFrame) -> DataFrame:
     """All links to one posting belong together: the first with text is the title, the second the company."""
     mark = "/Recruit/GI_Read/"
 
-    def posting(nodes, links, number):
-        own = F.filter(links, lambda l: l["number"] == number)
-        head = first(own)
+    def is_card(n):
+        names = F.array_join(n["classes"], " ")
+        return names.contains("rounded-2xl") & (names.contains("shadow") | names.contains("p-7"))
 
-        def is_card(n):
-            names = F.array_join(n["classes"], " ")
-            return names.contains("rounded-2xl") & (names.contains("shadow") | names.contains("p-7"))
+    def card_parts(nodes, link):
+        card = first(F.filter(F.slice(ancestors(nodes, link), 1, 8), is_card))
+        return F.coalesce(segments(below(nodes, card)), F.array().cast("array<string>"))
 
-        card = first(F.filter(F.slice(ancestors(nodes, head), 1, 8), is_card))
+    def posting(nodes, own):
         return F.struct(
-            number.alias("number"), head["text"].alias("t"), text(F.get(own, F.lit(1))["text"]).alias("c"),
-            F.when(card.isNotNull(), segments(below(nodes, card))).otherwise(F.array().cast("array<string>")).alias("parts"),
+            first(own)["number"].alias("number"),
+            first(own)["text"].alias("t"),
+            text(F.get(own, F.lit(1))["text"]).alias("c"),
+            card_parts(nodes, first(own)).alias("parts"),
         )
 
     def postings(nodes):
@@ -134,8 +136,14 @@ def jobkorea(pages: DataFrame) -> DataFrame:
             ),
         )
         speaking = F.filter(links, lambda l: (l["number"] != "") & (l["text"] != ""))
-        numbers = lambda ls: F.array_distinct(F.transform(ls, lambda l: l["number"]))
-        return let(speaking, lambda ls: F.transform(numbers(ls), lambda n: posting(nodes, ls, n)))
+        groups = let(
+            speaking,
+            lambda ls: F.transform(
+                F.array_distinct(F.transform(ls, lambda l: l["number"])),
+                lambda number: F.filter(ls, lambda l: l["number"] == number),
+            ),
+        )
+        return F.transform(groups, lambda own: posting(nodes, own))
 
     page = with_nodes(pages)
     rows = page.select(*[c for c in page.columns if c != "nodes"], F.explode(postings(F.col("nodes"))).alias("p"))
