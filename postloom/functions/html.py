@@ -160,8 +160,13 @@ def segments(nodes) -> Column:
 
 
 def below(nodes, node) -> Column:
-    """Descendants of a node, given an array that holds the whole page or a slice of it."""
-    return let(node, lambda e: F.filter(nodes, lambda n: (n["pos"] > e["pos"]) & (n["pos"] <= e["last"])))
+    """Descendants of a node. `nodes` is a whole page or any slice of it, so they are a slice too."""
+
+    def of(e):
+        start = e["pos"] - first(nodes)["pos"] + 2
+        return F.slice(nodes, start, e["last"] - e["pos"])
+
+    return let(node, of)
 
 
 def text_of(nodes, node) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import strip
 from ..lexicons import ALWAYS_OPEN, SITES
 from ..schema import RAW_SEQ
+from ..session import spread
 
 ROLES = ("백엔드 개발자", "시설보안 요원", "보안엔지니어", "Frontend Developer", "데이터 분석", "경호 담당",
          "DevOps Engineer", "마케팅 매니저", "AI Engineer 인턴", "software intern", "영업 관리", "클라우드 아키텍트")
@@ -44,12 +45,13 @@ def postings_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings_from_orders(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return postings_from_orders(spread(orders))
 
 
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting per document: its first line is the title, its whole text the search text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     key = F.col("doc_id")
     return d.select(
         key.alias("ingest_seq"),
@@ -79,8 +81,11 @@ def landed(postings: DataFrame, content, size=20) -> DataFrame:
 
     `content` is the record as it stands in the page; `page` numbers the pages.
     """
+    # a page costs far more to parse than to move
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         postings.withColumn("page", F.floor(F.col("ingest_seq") / size))
+        .repartition(tasks, "page")
         .groupBy("page")
         .agg(F.array_sort(F.collect_list(F.struct("ingest_seq", content.alias("body")))).alias("records"))
         .select("page", F.transform("records", lambda r: r["body"]).alias("bodies"))

@@ -7,7 +7,7 @@ from ..functions.text import clean, is_it_title, normalise, posting_uid, tech_st
 from ..lexicons import DIRECT_SOURCES, SITES
 from ..operators import dedup, expand, fuzzy, quality, refine, search, stats, upsert
 from ..schema import RAW_COLUMNS, RAW_SEQ, conform, to_display
-from ..session import materialize, work_path
+from ..session import spread, work_path
 from ..sources import feeds, files, html_feeds, json_feeds
 from ..sources.store import PostingStore
 from ..streaming import ingest as streaming
@@ -389,7 +389,7 @@ def _search_rows(spark, sf):
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("_search_text"))
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("_search_text")))
 
 
 @query
@@ -449,7 +449,7 @@ def saved_index_search(spark, sf):
     """The index written once, then searched from disk."""
     docs = _documents(spark, sf)
     path = work_path(spark, "index")
-    search.TextIndex.fit(docs).save(path)
+    search.TextIndex.fit(docs, keep=True).save(path)
     questions = table(spark, sf, "conversations").where("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"
     )
@@ -644,7 +644,7 @@ def feed_rallit(spark, sf):
 @query
 def article_pages(spark, sf):
     """The article rules on the raw web pages of the test data."""
-    pages = table(spark, sf, "pages").select("url", "html", F.lit("백엔드").alias("label"))
+    pages = spread(table(spark, sf, "pages").select("url", "html", F.lit("백엔드").alias("label")))
     return html_feeds.rallit(pages)
 
 

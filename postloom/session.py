@@ -49,3 +49,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out to all cores if its files give fewer tasks than that.
+
+    For steps that cost much time per byte. With as many files as a large corpus has, nothing is
+    moved. Only for plain scans: counting the tasks of a shuffle would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
