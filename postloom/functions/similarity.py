@@ -12,37 +12,66 @@ from .text import col
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel (Hyyro 2004)."""
-    head = 0
-    limit = min(len(a), len(b))
-    while head < limit and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < limit - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    if not a or not b:
-        return head + tail
+CHUNK_BITS = 16_384
+
+
+def _places(a: str) -> dict[str, int]:
+    """Character -> bits of the positions it stands at."""
     where: dict[str, int] = {}
     for i, ch in enumerate(a):
         where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+    return where
+
+
+def _lcs_chunk(b: str, partners, places: dict) -> list[int]:
+    """LCS lengths of one text with several, all in one pass over it.
+
+    Bit-parallel LCS (Hyyro 2004) on one long integer: the partners lie side by side with an
+    unused bit between them, which takes up the carry of the addition.
+    """
+    needed = set(b)
+    where: dict[str, int] = {}
+    full = offset = 0
+    for a in partners:
+        if a not in places:
+            places[a] = _places(a)
+        for ch, bits in places[a].items():
+            if ch in needed:
+                where[ch] = where.get(ch, 0) | (bits << offset)
+        full |= ((1 << len(a)) - 1) << offset
+        offset += len(a) + 1
     row = full
     for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return head + tail + len(a) - row.bit_count()
+        bits = where.get(ch)
+        if bits:
+            hit = row & bits
+            row = ((row + hit) | (row ^ hit)) & full
+    found, offset = [], 0
+    for a in partners:
+        found.append(len(a) - ((row >> offset) & ((1 << len(a)) - 1)).bit_count())
+        offset += len(a) + 1
+    return found
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
+def _lcs_pairs(a, b) -> list[int]:
+    """LCS length per pair; runs of equal `b` are worked off together."""
+    out: list[int] = []
+    places: dict[str, dict[str, int]] = {}
+    start = 0
+    while start < len(b):
+        end, bits = start, 0
+        while end < len(b) and b[end] == b[start] and (end == start or bits + len(a[end]) < CHUNK_BITS):
+            bits += len(a[end]) + 1
+            end += 1
+        out += _lcs_chunk(b[start], a[start:end], places)
+        start = end
+    return out
 
 
-def indel_allowance(total_length, threshold: int) -> Column:
-    """Most insertions and deletions two texts of this joint length may need."""
-    return F.floor(col(total_length) * (100 - threshold) / 100.0 + 1e-9).cast("int")
+@F.pandas_udf(T.IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest common subsequence; fastest where rows with the same `b` follow each other."""
+    return pd.Series(_lcs_pairs(a.tolist(), b.tolist()), dtype="int32")
 
 
 def similarity(a, b) -> Column:
