@@ -27,8 +27,11 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "p": ({"p"}, {"div", "article", "section", "li", "td", "body"}),
 }
+BLOCKS = (
+    "address article aside blockquote div dl footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul"
+)
+CLOSES.update({tag: ({"p"}, {"div", "article", "section", "li", "dd", "td", "body"}) for tag in BLOCKS.split()})
 
 
 class _Flat(HTMLParser):
