@@ -54,23 +54,28 @@ def _lcs_chunk(b: str, partners, places: dict) -> list[int]:
 
 
 def _lcs_pairs(a, b) -> list[int]:
-    """LCS length per pair; runs of equal `b` are worked off together."""
-    out: list[int] = []
+    """LCS length per pair; pairs with the same `b` are worked off together."""
+    out = [0] * len(b)
     places: dict[str, dict[str, int]] = {}
-    start = 0
-    while start < len(b):
-        end, bits = start, 0
-        while end < len(b) and b[end] == b[start] and (end == start or bits + len(a[end]) < CHUNK_BITS):
-            bits += len(a[end]) + 1
-            end += 1
-        out += _lcs_chunk(b[start], a[start:end], places)
-        start = end
+    same: dict[str, list[int]] = {}
+    for i, text in enumerate(b):
+        same.setdefault(text, []).append(i)
+    for text, rows in same.items():
+        chunk, bits = [], 0
+        for i in [*rows, None]:
+            if chunk and (i is None or bits + len(a[i]) > CHUNK_BITS):
+                for j, n in zip(chunk, _lcs_chunk(text, [a[j] for j in chunk], places)):
+                    out[j] = n
+                chunk, bits = [], 0
+            if i is not None:
+                chunk.append(i)
+                bits += len(a[i]) + 1
     return out
 
 
 @F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence; fastest where rows with the same `b` follow each other."""
+    """Longest common subsequence; fastest where rows with the same `b` lie in one partition."""
     return pd.Series(_lcs_pairs(a.tolist(), b.tolist()), dtype="int32")
 
 
