@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import is_blank, posting_uid, strip, text
+from ..functions.text import posting_uid, strip, text
 
 
 def first_per(df: DataFrame, keys, order) -> DataFrame:

@@ -1,5 +1,7 @@
 """Postings derived from the given tables, so that work grows with them."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import strip
@@ -106,7 +108,5 @@ def html_pages(postings: DataFrame, card, head="", tail="") -> DataFrame:
 
 def fill(template: str, **columns):
     """Text with {name} places taken from columns."""
-    import re
-
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[columns[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])

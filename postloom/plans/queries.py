@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import codecs, filters
-from ..functions.text import clean, is_it_title, normalise, posting_uid, tech_stack, years, experience_source
-from ..lexicons import DIRECT_SOURCES, SITES
+from ..functions.text import is_it_title, normalise, posting_uid, tech_stack, years, experience_source
+from ..lexicons import SITES
 from ..operators import dedup, expand, fuzzy, quality, refine, search, stats, upsert
-from ..schema import RAW_COLUMNS, RAW_SEQ, conform, to_display
+from ..schema import RAW_COLUMNS, conform, to_display
 from ..session import spread, work_path
 from ..sources import feeds, files, html_feeds, json_feeds
 from ..sources.store import PostingStore

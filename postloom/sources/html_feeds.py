@@ -8,7 +8,7 @@ expressions over the page's nodes.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.html import (
-    ancestors, attr_of, below, cards, first, is_el, raw_length, segments, select, text_of, texts, texts_of, with_nodes,
+    ancestors, attr_of, below, cards, first, is_el, raw_length, segments, select, text_of, texts_of, with_nodes,
 )
 from ..functions.text import absolute_url, contains_any, is_it_title, let, or_default, strip, text
 from ..lexicons import (

@@ -11,7 +11,7 @@ under the same id: its folder is overwritten, and a committed id is never applie
 `compact` folds everything into one batch.
 """
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators.upsert import ACTIONS, classify, one_row_per_uid
 from ..operators.stats import newest

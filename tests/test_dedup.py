@@ -1,10 +1,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from postloom.functions.similarity import _lcs_pairs
-from postloom.operators import dedup, fuzzy
+from postloom.operators import dedup, fuzzy, refine
 
 
 def one_by_one(rows):
@@ -162,3 +161,9 @@ def test_one_group_of_near_copies_is_never_paired_with_itself(spark):
         fuzzy.Signature.matches = plain
     assert got == len(greedy(rows, 90))
     assert sum(seen) < 600 * 600 / 20
+
+
+def test_refining_a_listing_without_order_of_arrival(spark, raw):
+    rows = raw(*[{"title": f"개발자 {t}", "company": "a", "deadline": d, "experience": "신입"} for t, d in (("python", "2"), ("python", "1"), ("웹", ""))])
+    got = refine.refine(rows.drop("ingest_seq")).orderBy("title").collect()
+    assert [(r.title, r.deadline, r.min_exp, r.tech_stack) for r in got] == [("개발자 python", "1", 0, ["Python"]), ("개발자 웹", "", 0, [])]
