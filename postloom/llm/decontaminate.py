@@ -70,7 +70,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     want = (
         items.where("text is not null")
         .select("item_id", words_of(F.col("text")).alias("w"))
-        .where(F.size("w") > 0)
+        .where("size(w) > 0")
         .select("item_id", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), "w")
         .withColumn("want", shingles(F.col("w"), F.col("k")))
         .withColumn("print", fingerprint(F.col("want")))
@@ -83,7 +83,8 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     hits = None
     for k in sizes or [SHINGLE]:
         step = 2 if k == SHINGLE else 1
-        own = keyed.select("doc_id", "tid", F.posexplode(shingles(words_of(F.col("text")), k, step)).alias("p", "h"))
+        own = keyed.select("doc_id", "tid", words_of(F.col("text")).alias("w"))
+        own = own.select("doc_id", "tid", F.posexplode(shingles(F.col("w"), k, step)).alias("p", "h"))
         found = own.join(sought.where(F.col("k") == k), "h").select(
             "doc_id", "tid", "k", "n", F.greatest(F.col("p") * step - F.col("j"), F.lit(0)).alias("start")
         )

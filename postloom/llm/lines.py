@@ -75,8 +75,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = (
         keyed.select("doc_id", "tid", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
         .select("doc_id", "tid", "ln", _words(F.col("line")).alias("w"))
-        .where(F.size("w") >= LEAST)
         .select(
+            F.size("w").alias("n"),
             F.struct("doc_id", "tid", "ln").alias("at"),
             F.xxhash64("w").alias("h"),
             F.xxhash64(F.lit(1), "w").alias("g"),
@@ -86,7 +86,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
     path = work_path(spark, "lines")
     lines.write.parquet(path)
-    lines = spark.read.parquet(path)
+    lines = spark.read.parquet(path).where(F.col("n") >= LEAST)
 
     path = work_path(spark, "distinct-lines")
     folded = lines.groupBy("h", "g").agg(
