@@ -7,8 +7,8 @@ likelier with similarity. Bands of registers give candidates, a likelihood estim
 registers drops those far below the threshold, and full sets decide the rest exactly.
 
 Equal sets fold into one class first. Within a band bucket nobody is paired with everybody: each round
-compares one leader per bucket with the members of other components, what is linked is one component
-from then on, and only members of different components are compared at the end.
+compares one leader per bucket, the member with most links so far, with the members of other components, what is linked is one component
+from then on, and only members of different components are compared at the end, in large buckets block by block.
 """
 
 import hashlib
@@ -28,7 +28,8 @@ RATE = 20.0
 TOP = 65_534
 ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
-STARS = 4
+STARS = 2  # rounds of leaders before all that is open gets compared
+BLOCK = 256  # members of a large bucket that one task compares with as many others
 ODD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 ADD = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
 
@@ -100,10 +101,8 @@ def _sets(batches):
     for batch in batches:
         for lo, hi, texts in slabs(batch, fold=True):
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts.words())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("key")).slice(lo, hi - lo), pa.array(sets, pa.binary())],
-                names=["key", "full"],
-            )
+            keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "full"])
 
 
 def estimate(n1: np.ndarray, n2: np.ndarray, more: np.ndarray, less: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -148,6 +147,36 @@ def _exact(percent: int):
     return run
 
 
+def _compare(percent: int, columns: int = 4_096):
+    """Of one pair of blocks the links between different components; shared shingles are counted by matrix products."""
+    shape = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(rows):
+        own, i, j = (np.asarray(rows[c]) for c in ("own", "i", "j"))
+        comps, keys = rows["comp"].to_pylist(), rows["key"].to_pylist()
+        sets = [np.frombuffer(f.as_buffer(), "<u8") for f in rows["full"]]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if not len(left) or not len(right):
+            return shape.empty_table()
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+            a, b = np.searchsorted(column, [lo, lo + columns])
+            have = np.zeros((len(sets), columns), np.float32)
+            have[row[a:b], column[a:b] - lo] = 1
+            both += have[left] @ have[right].T
+        joint = size[left][:, None] + size[right][None, :] - both
+        pairs = [(keys[left[x]], keys[right[y]]) for x, y in np.argwhere(100 * both >= percent * joint) if comps[left[x]] != comps[right[y]]]
+        a, b = [min(p) for p in pairs], [max(p) for p in pairs]
+        return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=shape)
+
+    return run
+
+
 class NearDuplicates:
     """Links and components of `docs` (doc_id, text) at `percent` of the union.
 
@@ -189,65 +218,63 @@ class NearDuplicates:
         sized = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
         likely = materialize(sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(self.floor), "a binary, b binary"))
         nodes = likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct()
-        # the text that stands for each class, by its id and hash
-        wanted = self.classes.select("key", F.col("one.doc_id").alias("w_id"), F.col("one.tid").alias("w_tid")).join(nodes, "key", "left_semi")
-        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tid") == F.col("w_tid"))).select("key", "text")
-        path = work_path(spark, "sets")
-        texts.mapInArrow(_sets, "key binary, full binary").write.parquet(path)
-        full = self._own(spark.read.parquet(path))
+        full = self._full(nodes)
         side = lambda x: full.select(F.col("key").alias(x), F.col("full").alias(f"full_{x}"))
         both = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "full_a", "full_b")
         return materialize(both.mapInArrow(_exact(self.percent), "a binary, b binary"))
 
-    @staticmethod
-    def _own(sets: DataFrame) -> DataFrame:
-        """Sets under the key that they hash to."""
-
-        def own(batches):
-            for batch in batches:
-                keys, full = batch.column(0), batch.column(1)
-                fit = [hashlib.blake2b(f.as_buffer(), digest_size=16).digest() == k.as_py() for k, f in zip(keys, full)]
-                yield batch.filter(pa.array(fit, pa.bool_()))
-
-        return sets.select("key", "full").mapInArrow(own, "key binary, full binary").dropDuplicates(["key"])
+    def _full(self, nodes: DataFrame) -> DataFrame:
+        """(key, full): the whole sets of some classes."""
+        wanted = self.classes.select("key", F.col("one.doc_id").alias("w_id"), F.col("one.tid").alias("w_tid")).join(nodes, "key", "left_semi")
+        # the text that stands for each class, by its id and hash
+        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tid") == F.col("w_tid"))).select("key", "text")
+        path = work_path(self.docs.sparkSession, "sets")
+        texts.mapInArrow(_sets, "key binary, full binary").write.parquet(path)
+        return self.docs.sparkSession.read.parquet(path).dropDuplicates(["key"])
+
+    def _blocks(self, live: DataFrame) -> DataFrame:
+        """Links between components within large buckets: blocks of members against blocks of members."""
+        sizes = live.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        rows = live.join(sizes.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        rows = rows.select("bucket", "key", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        rows = rows.select("bucket", "key", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        rows = rows.join(self._full(live.select("key").distinct()).hint("merge"), "key")
+        tasks = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = rows.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(_compare(self.percent), "a binary, b binary")
+        return materialize(found.distinct())
 
     def links(self) -> DataFrame:
-        """Verified pairs (a, b) of class keys that span all components."""
+        """Verified pairs (a, b) of class keys that join all that belongs together."""
         buckets = materialize(self.buckets())
-        tested, found, label = None, None, None
+        found = None
+        live = buckets.withColumn("comp", F.col("key"))
         for turn in range(STARS + 1):
-            named = buckets.select("bucket", "key", F.col("key").alias("comp"))
-            if label is not None:
-                named = buckets.join(label.select(F.col("node").alias("key"), "root"), "key", "left").select(
-                    "bucket", "key", F.coalesce("root", "key").alias("comp")
-                )
-            mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-            live = named.join(mixed.hint("merge"), "bucket")
             if turn:
-                live = materialize(live)
-                if live.isEmpty():
-                    break
-                buckets = live.select("bucket", "key")
-            if turn < STARS:
-                pick = F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), "key", "comp")
-                leader = live.groupBy("bucket").agg(F.min(pick).alias("l")).select("bucket", "l.key", "l.comp").toDF("bucket", "lead", "lead_comp")
-                met = live.join(leader.hint("merge"), "bucket").where("comp <> lead_comp").select("key", "lead")
-            else:
-                other = live.toDF("bucket", "lead", "lead_comp")
-                met = live.join(other.hint("merge"), "bucket").where("comp < lead_comp").select("key", "lead")
-            pairs = met.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = materialize(pairs)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            if pairs.isEmpty():
-                continue
-            more = self.verified(pairs)
+                label = components(found).select(F.col("node").alias("key"), "root")
+                named = buckets.join(label, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
+                mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
+                live = materialize(named.join(mixed.select("bucket", "n").hint("merge"), "bucket"))
+            if turn == STARS:
+                break
+            # the member with most links so far is the likeliest centre of a group
+            ranked = live.withColumn("links", F.lit(0).cast("long"))
+            if turn:
+                ends = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+                ranked = live.join(ends, "key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+            pick = F.struct((-F.col("links")).alias("links"), F.xxhash64("key", F.lit(turn)).alias("o"), "key", "comp")
+            leader = ranked.groupBy("bucket").agg(F.min(pick).alias("l")).select("bucket", "l.key", "l.comp").toDF("bucket", "lead", "lead_comp")
+            met = live.join(leader.hint("merge"), "bucket").where("comp <> lead_comp").select("key", "lead")
+            more = self.verified(self._pairs(met))
             found = more if found is None else found.unionByName(more)
-            label = components(found)
-        if found is None:
-            found = buckets.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-        return found
+        # what is still open within buckets: pair by pair in small ones, block by block in large ones
+        small = live.where(F.col("n") <= BLOCK // 4)
+        other = small.select("bucket", F.col("key").alias("lead"), F.col("comp").alias("lead_comp"))
+        met = small.join(other.hint("merge"), "bucket").where("comp < lead_comp").select("key", "lead")
+        return found.unionByName(self.verified(self._pairs(met))).unionByName(self._blocks(live.where(F.col("n") > BLOCK // 4)))
+
+    @staticmethod
+    def _pairs(met: DataFrame) -> DataFrame:
+        return materialize(met.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())
 
     def components(self) -> DataFrame:
         """One row per document: doc_id, tid (hash of the text), n_shingles, component_id, kept.

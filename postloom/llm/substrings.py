@@ -146,7 +146,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) ->
     shared = anchors.groupBy("p").agg(F.sum("leaves").alias("n")).where("n > 1").select("p")
     live = anchors.join(shared.hint("merge"), "p").groupBy("t1", "t2").agg(F.collect_list("at").alias("anchors"))
     live = materialize(live)
-    near = _same(texts, counted(live, F.size("anchors") + 4), "inner").select("t1", "t2", "leaves", "anchors", "text")
+    near = _same(texts, live.hint("merge"), "inner").select("t1", "t2", "leaves", "anchors", "text")
     windows = near.mapInArrow(_find_windows(depth, prefix), "node long, t1 long, t2 long, leaves int, at int")
     nodes = windows.groupBy("node").agg(F.sum("leaves").alias("n")).where("n > 1").select("node")
     hit = windows.where("leaves = 1").join(nodes.hint("merge"), "node").groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
@@ -189,6 +189,6 @@ def dedup_substrings(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX)
     """
     many, spans = repeated_spans(docs, depth, prefix)
     rows = _same(_keyed(docs), counted(many.withColumn("copied", F.lit(True))), "left")
-    rows = _same(rows, counted(spans, F.size("begins") * 2 + 4), "left")
+    rows = _same(rows, spans.hint("merge"), "left")
     rows = rows.select("doc_id", F.coalesce("copied", F.lit(False)).alias("copied"), "begins", "ends", "text")
     return rows.mapInArrow(_keep(depth), "doc_id long, n_words long, n_removed long, kept_sha256 string")
