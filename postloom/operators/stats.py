@@ -130,15 +130,15 @@ def direct_sources(df: DataFrame, direct=DIRECT_SOURCES) -> DataFrame:
     return by_source(df.where(F.col("source").isin(*direct)))
 
 
-def headline(df: DataFrame, direct=DIRECT_SOURCES, location_cap=10) -> DataFrame:
-    """Total, sources after the roll-up, dated deadlines, locations shown."""
+def headline(df: DataFrame, direct=DIRECT_SOURCES) -> DataFrame:
+    """Total, sources after the roll-up, dated deadlines, locations."""
     rolled = F.when(F.col("source").isin(*direct), F.lit(ROLLUP_LABEL)).otherwise(F.col("source"))
     places = F.count_distinct(F.coalesce("location", F.lit(NO_LOCATION)))
     return df.agg(
         F.count("*").alias("total"),
         F.count_distinct(rolled).alias("sources"),
         F.count_if(text("deadline").rlike(ISO_DATE)).alias("iso_deadline_count"),
-        F.least(places, F.lit(location_cap)).alias("locations"),
+        places.alias("locations"),
     )
 
 

@@ -38,8 +38,8 @@ def classify(known: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def merge(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """The table after the batch, as one full outer join on uid."""
-    t, b = table.alias("t"), batch.alias("b")
+    """The table after the batch, as one full outer join on uid. Blank uids go, repeats fold."""
+    t, b = table.alias("t"), one_row_per_uid(batch).alias("b")
     known, given = F.col("t.uid").isNotNull(), F.col("b.uid").isNotNull()
     moves = known & given & deadline_moves(F.col("t.deadline"), F.col("b.deadline"))
 
@@ -54,7 +54,7 @@ def merge(table: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def counts(known: DataFrame, batch: DataFrame) -> DataFrame:
-    hits = classify(known, batch)
+    hits = classify(known, one_row_per_uid(batch))
     return hits.agg(
         *[F.count_if(F.col("action") == a).alias(n) for a, n in zip(ACTIONS, ("inserted", "updated", "skipped"))]
     )

@@ -182,7 +182,7 @@ put("location_tokens", WITH_P + r"""SELECT token, count(*) AS cnt FROM (SELECT u
 put("direct_sources", WITH_P + "SELECT source, count(*) AS cnt FROM p WHERE source IN ('카카오', '네이버', '토스', '쿠팡') GROUP BY 1")
 put("headline_metrics", WITH_P + f"""SELECT count(*) AS total,
   count(DISTINCT CASE WHEN source IN ('카카오', '네이버', '토스', '쿠팡') THEN '개별 공고' ELSE source END) AS sources,
-  count(*) FILTER ({ISO}) AS iso_deadline_count, least(count(DISTINCT location), 10) AS locations FROM p""")
+  count(*) FILTER ({ISO}) AS iso_deadline_count, count(DISTINCT location) AS locations FROM p""")
 put("browse_by_deadline", WITH_E + "SELECT deadline, uid, ingest_seq FROM e")
 put("card_badges", WITH_E + """SELECT ingest_seq, array_to_string(techs[1:5], '|') AS badges,
   least(CAST(ingest_seq % 150 AS DOUBLE), 100.0) AS bar FROM e""")
@@ -322,6 +322,10 @@ put("vector_topk", """WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY
   s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(q AS DOUBLE[]) FROM q)) AS dot FROM embeddings),
   t AS (SELECT * FROM s ORDER BY round(dot, 9) DESC, vec_id LIMIT 20)
   SELECT vec_id, round(dot, 6) AS dot, round_even(100.0 * dot, 1) AS score FROM t WHERE round_even(100.0 * dot, 1) >= 0.0""")
+put("vector_batch_topk", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS dot FROM v q, v WHERE q.vec_id % 20 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 9) DESC, vec_id) AS rank FROM s)
+  SELECT query_id, vec_id, rank, round(dot, 6) AS dot FROM r WHERE rank <= 5""")
 put("embed_texts", "SELECT doc_id, length(left(text, 8000)) AS kept, sha256(left(text, 8000)) AS sha FROM documents")
 
 # ---- feeds

@@ -16,6 +16,7 @@ from .fixtures import (
 )
 
 QUERIES = {}
+TERMS = 20_000  # the vocabulary size that the search queries ask for
 
 
 def query(fn):
@@ -400,13 +401,13 @@ def search_documents(spark, sf):
 @query
 def tfidf_vocabulary(spark, sf):
     docs = _documents(spark, sf)
-    vocab = search.vocabulary(search.term_counts(docs), docs)
+    vocab = search.vocabulary(search.term_counts(docs), docs, TERMS)
     return vocab.select("term", "cnt", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
 def tfidf_weights(spark, sf):
-    index = search.TextIndex.fit(_documents(spark, sf)).index
+    index = search.TextIndex.fit(_documents(spark, sf), size=TERMS).index
     return index.select("uid", "term", F.round("w", 6).alias("w"))
 
 
@@ -416,31 +417,44 @@ def _scored(df):
 
 @query
 def tfidf_search(spark, sf):
-    index = search.TextIndex.fit(_search_rows(spark, sf), "ingest_seq")
+    index = search.TextIndex.fit(_search_rows(spark, sf), "ingest_seq", size=TERMS)
     return _scored(index.search("서울 백엔드 개발자 python 신입", top_k=100))
 
 
 @query
 def tfidf_search_filtered(spark, sf):
     rows = _search_rows(spark, sf)
-    among = rows.where(filters.combined(sources=["사람인", "링크드인", "토스"], locations=["서울"], experience="신입"))
-    ask = spark.createDataFrame([("클라우드 보안 엔지니어",)], "query string")
-    wide = expand.expand_queries(ask).select(F.lit(0).alias("query_id"), F.col("search_query").alias("text"))
-    index = search.TextIndex.fit(rows, "ingest_seq")
-    hits = index.scores(wide, among).withColumn("score", search.rounded_score("dot")).where("score >= 5.0")
+    where = filters.combined(sources=["사람인", "링크드인", "토스"], locations=["서울"], experience="신입")
+    hits = search.expanded_search(rows, "클라우드 보안 엔지니어", where, id_column="ingest_seq", size=TERMS)
     return _scored(hits).select("ingest_seq", "dot", "score")
 
 
+@query
+def stored_search(spark, sf):
+    """Postings written to the table, read back, and searched."""
+    store = PostingStore(spark, work_path(spark, "search-store"))
+    store.upsert(refine.to_records(enriched(spark, sf), F.lit("2026-05-12 00:00:00").cast("timestamp")), 0)
+    hits = search.expanded_search(refine.from_records(store.read()), "클라우드 보안 엔지니어", F.col("source") == "토스")
+    return _scored(hits).select("uid", "title", "dot", "score", "search_query")
+
+
+@query
+def vector_batch_topk(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _scored(search.vector_batch_topk(vectors, asked, 5)).select("query_id", "vec_id", "rank", "dot")
+
+
 @query
 def semantic_search(spark, sf):
-    hits = search.semantic_search(_search_rows(spark, sf), "데이터 분석 aws", top_k=40, id_column="ingest_seq")
+    hits = search.semantic_search(_search_rows(spark, sf), "데이터 분석 aws", top_k=40, id_column="ingest_seq", size=TERMS)
     return hits.select("ingest_seq", "title", "company", "score")
 
 
 @query
 def batch_search(spark, sf):
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    index = search.TextIndex.fit(_documents(spark, sf))
+    index = search.TextIndex.fit(_documents(spark, sf), size=TERMS)
     return _scored(index.batch_search(questions, top_k=10)).select("query_id", "uid", "rank", "score", "dot")
 
 
@@ -449,7 +463,7 @@ def saved_index_search(spark, sf):
     """The index written once, then searched from disk."""
     docs = _documents(spark, sf)
     path = work_path(spark, "index")
-    search.TextIndex.fit(docs, keep=True).save(path)
+    search.TextIndex.fit(docs, keep=True, size=TERMS).save(path)
     questions = table(spark, sf, "conversations").where("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"
     )
@@ -494,7 +508,7 @@ def vector_topk(spark, sf):
 
 @query
 def embed_texts(spark, sf):
-    cut = search.embed_text("text")
+    cut = search.embed_text("text", 8_000)
     return table(spark, sf, "documents").select("doc_id", F.length(cut).alias("kept"), F.sha2(cut, 256).alias("sha"))
 
 

@@ -1,16 +1,21 @@
 """The postings table: one row per uid, merged batch by batch.
 
 Layout under `path`
-    batches/batch_id=N/action=insert   full rows of uids first seen in batch N
-    batches/batch_id=N/action=update   uid, deadline, updated_at of known uids whose deadline moved
-    log/                               one line per committed batch
+    batches/commit=X/action=insert   full rows of uids first seen in a commit
+    batches/commit=X/action=update   uid, deadline, updated_at of known uids whose deadline moved
+    log/                             one line per commit, with the version the store gave it
+
+Versions are the store's own and only grow; what callers name are writers and batch ids, and these serve
+for one thing: a batch that a writer hands over again is not applied twice. So several writers may use the
+same ids, and compaction does not disturb any of them. Writers take turns; the table has no lock.
 
 A batch only adds files, so its cost follows the batch and two columns of the table, not the
-table's size. Readers see batches in the log only. A batch that failed half way is simply run again
-under the same id: its folder is overwritten, and a committed id is never applied twice.
-`compact` folds everything into one batch.
+table's size. Readers see logged commits only, and list no other folder. `compact` folds everything
+before it into one commit; `drop_replaced` deletes the folders that no reader needs any more.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators.upsert import ACTIONS, classify, one_row_per_uid
@@ -18,10 +23,10 @@ from ..operators.stats import newest
 from ..functions.filters import table_filter
 from ..schema import POSTING
 
-LOG = "batch_id long, kind string, inserted long, updated long, skipped long"
+LOG = "version long, commit string, writer string, batch_id long, kind string, inserted long, updated long, skipped long"
 STORED = T.StructType(
     [T.StructField(f.name, f.dataType) for f in POSTING.fields]
-    + [T.StructField("batch_id", T.LongType()), T.StructField("action", T.StringType())]
+    + [T.StructField("commit", T.StringType()), T.StructField("action", T.StringType())]
 )
 
 
@@ -33,28 +38,32 @@ class PostingStore:
     def log(self) -> DataFrame:
         return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
 
-    def _committed(self, batch_id: int):
-        return self.log().where(F.col("batch_id") == batch_id).head()
+    def _committed(self, writer: str, batch_id: int):
+        return self.log().where((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).head()
 
-    def _live(self) -> DataFrame:
-        """Batches to read: the last compacted one and all after it."""
+    def _live(self) -> dict[str, int]:
+        """Version of each commit to read: the last compacted one and all after it."""
         log = self.log()
-        base = log.where("kind = 'compact'").agg(F.max("batch_id").alias("b")).scalar()
-        return log.where(F.col("batch_id") >= F.coalesce(base, F.lit(-1))).select("batch_id")
+        base = log.where("kind = 'compact'").agg(F.max("version").alias("v")).scalar()
+        rows = log.where(F.col("version") >= F.coalesce(base, F.lit(0))).select("commit", "version").collect()
+        return {r["commit"]: r["version"] for r in rows}
 
-    def _files(self, live: DataFrame) -> DataFrame | None:
-        if live.isEmpty():
+    def _files(self) -> DataFrame | None:
+        live = self._live()
+        if not live:
             return None
-        every = self.spark.read.schema(STORED).parquet(f"{self.path}/batches")
-        return every.join(live, "batch_id", "left_semi")
+        folders = [f"{self.path}/batches/commit={c}" for c in sorted(live, key=live.get)]
+        every = self.spark.read.schema(STORED).option("basePath", f"{self.path}/batches").parquet(*folders)
+        versions = self.spark.createDataFrame(list(live.items()), "commit string, version long")
+        return every.join(F.broadcast(versions), "commit")  # one row per commit since the last compaction
 
     def _current(self, columns) -> DataFrame:
-        files = self._files(self._live())
+        files = self._files()
         if files is None:
             return self.spark.createDataFrame([], POSTING).select(*columns)
         moved = [c for c in ("deadline", "updated_at") if c in columns]
         rows = files.where("action = 'insert'").select(*columns)
-        patch = F.max_by(F.struct(*moved), "batch_id")
+        patch = F.max_by(F.struct(*moved), "version")
         latest = files.where("action = 'update'").groupBy("uid").agg(patch.alias("_p"))
         joined = rows.join(latest, "uid", "left")
         return joined.select(
@@ -71,9 +80,9 @@ class PostingStore:
         """Newest rows that meet the filters of `table_filter`; no limit unless asked for."""
         return newest(self.read().where(table_filter(**filters)), limit)
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> tuple[int, int, int]:
-        """(inserted, updated, skipped). Running a committed id again changes nothing."""
-        done = self._committed(batch_id)
+    def upsert(self, batch: DataFrame, batch_id: int, writer: str = "batch") -> tuple[int, int, int]:
+        """(inserted, updated, skipped). Running a writer's batch again changes nothing."""
+        done = self._committed(writer, batch_id)
         if done is not None:
             return done["inserted"], done["updated"], done["skipped"]
         known = self._current(["uid", "deadline"])
@@ -88,20 +97,35 @@ class PostingStore:
             else F.col(c)
             for c in POSTING.names
         ]
-        self._write(merged.where("action <> 'skip'").select(*slim, "action"), batch_id)
+        commit = uuid.uuid4().hex
+        self._write(merged.where("action <> 'skip'").select(*slim, "action"), commit)
         got = tuple(tally.get[a] for a in ACTIONS)
-        self._commit(batch_id, "batch", got)
+        self._commit(commit, writer, batch_id, "batch", got)
         return got
 
-    def compact(self, batch_id: int) -> None:
-        """Fold all batches into one, under an id greater than theirs."""
-        if self._committed(batch_id) is None:
-            self._write(self.read().withColumn("action", F.lit("insert")), batch_id)
-            self._commit(batch_id, "compact", (0, 0, 0))
-
-    def _write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").partitionBy("action").parquet(f"{self.path}/batches/batch_id={batch_id}")
-
-    def _commit(self, batch_id: int, kind: str, got) -> None:
-        line = self.spark.createDataFrame([(batch_id, kind, *got)], LOG)
+    def compact(self, batch_id: int | None = None) -> None:
+        """Fold all commits so far into one. With an id, a second call under it does nothing."""
+        if batch_id is not None and self._committed("compact", batch_id) is not None:
+            return
+        commit = uuid.uuid4().hex
+        self._write(self.read().withColumn("action", F.lit("insert")), commit)
+        self._commit(commit, "compact", batch_id, "compact", (0, 0, 0))
+
+    def drop_replaced(self) -> int:
+        """Delete the folders of commits that a compaction has folded; how many went. No reader may be under way."""
+        live = self._live()
+        old = [r["commit"] for r in self.log().select("commit").collect() if r["commit"] not in live]
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        gone = 0
+        for c in old:
+            folder = jvm.Path(f"{self.path}/batches/commit={c}")
+            gone += folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return gone
+
+    def _write(self, rows: DataFrame, commit) -> None:
+        rows.write.mode("overwrite").partitionBy("action").parquet(f"{self.path}/batches/commit={commit}")
+
+    def _commit(self, commit: str, writer: str, batch_id: int | None, kind: str, got) -> None:
+        last = self.log().agg(F.max("version")).head()[0] or 0
+        line = self.spark.createDataFrame([(last + 1, commit, writer, batch_id, kind, *got)], LOG)
         line.coalesce(1).write.mode("append").parquet(f"{self.path}/log")

@@ -21,13 +21,16 @@ def landed_stream(spark: SparkSession, path: str, schema=RAW_SEQ, fmt="parquet",
 def ingest(stream: DataFrame, store: PostingStore, checkpoint: str, threshold: int = 90, rules: bool = True, now=None, **trigger) -> StreamingQuery:
     """Refine each micro-batch and merge it into the store.
 
-    The engine may hand over a batch again after a failure; the store applies an id only once.
+    The engine may hand over a batch again after a failure; the store applies it once. A batch is known by
+    the id of the stream, which lives in its checkpoint, and its own number: other streams, and this one
+    from a new checkpoint, are other writers.
     Duplicates meet within a batch only; across batches rows meet by uid.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = dedup_rules(batch) if rules else batch
-        store.upsert(to_records(refine(rows, threshold), now), batch_id)
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        store.upsert(to_records(refine(rows, threshold), now), batch_id, writer=f"stream {stream_id}")
 
     return (
         stream.writeStream.foreachBatch(merge)

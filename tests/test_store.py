@@ -116,3 +116,43 @@ def test_stream_dedup_over_several_files(spark, tmp_path, raw):
     run = out.writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("seen").count() == 15
+
+
+def test_compaction_hides_no_batch(spark, tmp_path):
+    store = PostingStore(spark, str(tmp_path / "s"))
+    store.upsert(records(spark, DAY1, *OLD), 0)
+    store.compact(10)
+    assert store.upsert(records(spark, DAY2, *NEW), 1) == (1, 3, 2)  # an id below the compaction's
+    assert deadlines(store.read()) == WANT
+    store.compact()
+    assert store.upsert(records(spark, DAY2, {"uid": "g"}), 11) == (1, 0, 0)
+    store.compact()
+    before = deadlines(store.read())
+    assert store.drop_replaced() == 5  # three batches and two compactions
+    assert deadlines(store.read()) == before and len(before) == 7
+
+
+def test_writers_may_use_the_same_ids(spark, tmp_path):
+    store = PostingStore(spark, str(tmp_path / "s"))
+    assert store.upsert(records(spark, DAY1, *OLD), 0, "a") == (5, 0, 0)
+    assert store.upsert(records(spark, DAY2, *NEW), 0, "b") == (1, 3, 2)
+    assert store.upsert(records(spark, DAY2, *NEW), 0, "b") == (1, 3, 2)
+    assert deadlines(store.read()) == WANT
+
+
+def test_two_streams_and_a_compaction_between(spark, tmp_path, raw):
+    store = PostingStore(spark, str(tmp_path / "store"))
+    for part in range(2):
+        landed = str(tmp_path / f"landed{part}")
+        raw(*[{"title": f"백엔드 {part} {i}", "company": f"co{part}{i}"} for i in range(3)]).coalesce(1).write.parquet(landed)
+        streaming.ingest(streaming.landed_stream(spark, landed), store, str(tmp_path / f"state{part}"), threshold=100).awaitTermination()
+        store.compact()
+        raw({"title": f"late {part}", "company": "x"}).coalesce(1).write.mode("append").parquet(landed)
+        streaming.ingest(streaming.landed_stream(spark, landed), store, str(tmp_path / f"state{part}"), threshold=100).awaitTermination()
+    assert store.read().count() == 8
+
+
+def test_merge_folds_repeats_and_drops_blank_uids(spark):
+    old, new = records(spark, DAY1, *OLD), records(spark, DAY2, *NEW, *NEW)
+    assert deadlines(upsert.merge(old, new)) == WANT and upsert.merge(old, new).count() == len(WANT)
+    assert tuple(upsert.counts(old, new).head()) == (1, 3, 2)
