@@ -58,7 +58,10 @@ def shingles(words: Column, k: Column | int) -> Column:
 
 
 def minhashes(hashes: Column) -> Column:
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, j=j: F.xxhash64(h, F.lit(j)))) for j in range(BANDS)])
+    def least(seed):
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
+
+    return F.array(*[least(seed) for seed in range(BANDS)])
 
 
 def _plain_words(text: str) -> list[str]:
