@@ -28,7 +28,10 @@ MASKS = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinat
 
 def words_of(text: Column) -> Column:
     """Lower-case words between spaces and 0x09-0x0D."""
-    return F.array_remove(F.split(F.lower(text), "[ \\x09-\\x0D]+"), "")
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
+    # one plain delimiter: a pattern would be compiled anew for each text
+    even = F.when(flat.rlike(r"[\t\r\x0b\x0c]"), F.translate(flat, "\t\r\x0b\x0c", "    ")).otherwise(flat)
+    return F.array_remove(F.split(F.lower(even), " "), "")
 
 
 def shingles(words: Column, k: Column | int, step: int = 1) -> Column:

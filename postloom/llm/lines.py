@@ -26,7 +26,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"\s+"), "")
+    """Lower-case words of a line; one plain delimiter, as a pattern would be compiled anew for each line."""
+    even = F.when(line.rlike(r"[\t\r\x0b\x0c]"), F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(even), " "), "")
 
 
 def _without(words: Column, i: Column) -> Column:

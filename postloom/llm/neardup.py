@@ -28,7 +28,7 @@ RATE = 20.0
 TOP = 65_534
 ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
-STARS = 2  # rounds of leaders before all that is open gets compared
+STARS = 1  # rounds of leaders before all that is open gets compared
 BLOCK = 256  # members of a large bucket that one task compares with as many others
 ODD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 ADD = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))

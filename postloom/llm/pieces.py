@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MARK = "▁"
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 BYTE_PENALTY = 10.0
 
@@ -39,6 +39,11 @@ class Vocabulary:
         crossing = any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
         self.chunks = None if crossing else re.compile(r" +[^ \n]*|[^ \n]+|\n")
         self.memory: dict[str, array] = {}
+        # every beginning of a piece, with the piece if it is one
+        self.starts: dict[str, tuple[int, float] | None] = dict(pieces)
+        for p in pieces:
+            for i in range(1, len(p)):
+                self.starts.setdefault(p[:i], None)
 
     def __getstate__(self):
         return (self.pieces, self.byte_ids, self.table)
@@ -109,8 +114,38 @@ class Vocabulary:
             steps.append(ids)
         return chain.from_iterable(reversed(steps))
 
+    def _short(self, text: str) -> list[int]:
+        """What `search` finds, for a text within one window: forward from each place while a piece may begin there."""
+        n, marked, starts = len(text), text.replace(" ", MARK), self.starts
+        best, way = [-math.inf] * (n + 1), [(0, ())] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            have, end = best[start], start + 1
+            hit = starts.get(marked[start:end], False)
+            if not hit or (marked[start] == MARK and text[start] == MARK):
+                raw = text[start].encode("utf-8", "surrogatepass")
+                value = have + self.byte_score * len(raw)
+                if value > best[end]:
+                    best[end], way[end] = value, (start, tuple(self.byte_ids[b] for b in raw))
+                if text[start] == MARK:
+                    continue
+            while hit is not False:
+                if hit is not None:
+                    value = have + hit[1]
+                    if value > best[end]:
+                        best[end], way[end] = value, (start, (hit[0],))
+                if end == n:
+                    break
+                end += 1
+                hit = starts.get(marked[start:end], False)
+        out, end = [], n
+        while end:
+            end, ids = way[end]
+            out.append(ids)
+        return [i for ids in reversed(out) for i in ids]
+
     def _chunk(self, chunk: str) -> array:
-        ids = array("i", self.search(chunk))
+        ids = array("i", self._short(chunk) if len(chunk) <= self.longest and MARK not in chunk else self.search(chunk))
         if len(chunk) <= LONGEST_REMEMBERED:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
