@@ -5,24 +5,27 @@ earlier line lies within one inserted, deleted or replaced word; a shorter one,
 words, goes if an earlier line equals it; lines below `LEAST` words stay. Earlier means: by doc_id,
 then by place in the text. So the earliest line of any group always stays.
 
-Equal lines fold first. One edit leaves the first four words or the last four of a line of eight or
-more intact, so only lines that share either with another line can have a partner; of these all
-variants with one word left out are emitted as hashed keys. Lines within one edit share a variant:
-both without the same place, or one whole and one shortened. Each variant's earliest line is the
-witness for the others, so a group is never paired with itself. Witnesses are then compared word by
-word.
+Equal lines fold first. One edit leaves the first half of the words or the last half intact, so only
+lines that share either with another line can have a partner; of these all variants with one word of
+the other half left out are emitted as hashed keys. Lines within one edit share a variant: both without
+the same place, or one whole and one shortened. Each variant's earliest line is the witness for the
+others, so a group is never paired with itself. Witnesses are then compared word by word.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize, work_path
 from .joins import counted
+from .tokens import POWERS, Texts, mix, rolling, signed, slabs
 
-LEAST, LOOSE, END = 3, 8, 4
+LEAST, LOOSE = 3, 8
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
+    """Lower-case texts with the hash of what they were."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _words(line: Column) -> Column:
@@ -31,28 +34,108 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(even), " "), "")
 
 
-def _without(words: Column, i: Column) -> Column:
-    """Words with place i (from 0) left out; all for i < 0."""
-    return F.when(i < 0, words).otherwise(F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words))))
+def _lines_of(texts: Texts):
+    """Lines with a word: their words, text numbers, line numbers from 0, first and last (exclusive) words."""
+    words = texts.words()
+    of = words.text_of()
+    breaks = np.flatnonzero(texts.data == 10)
+    ln = np.searchsorted(breaks, words.begin) - np.searchsorted(breaks, texts.at[:-1])[of]
+    cut = np.flatnonzero((np.diff(of) != 0) | (np.diff(ln) != 0)) + 1
+    s = np.concatenate([[0], cut]) if len(of) else cut
+    e = np.concatenate([cut, [len(of)]]) if len(of) else cut
+    return words, of[s], ln[s], s, e
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    places = F.sequence(F.lit(-1), F.size("words") - 1)
-    return lines.select("at", "words", F.explode(places).alias("i")).select(
-        "at", "i", F.xxhash64(_without(F.col("words"), F.col("i"))).alias("v")
-    )
+LISTED = "doc_id long, tid long, ln int, h long, g long, p1 long, s1 long, p2 long, s2 long"
+
+
+def _list_lines(batches):
+    """Lines of LEAST words or more: two hashes of all words, and from LOOSE words on hashes of both halves.
+
+    A half is n // 2 words, as the shorter line of a pair counts; as the longer one it counts (n - 1) // 2.
+    """
+    for batch in batches:
+        ids, tids = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tid"))
+        for lo, hi, texts in slabs(batch, fold=False):
+            words, of, ln, s, e = _lines_of(texts)
+            keep = e - s >= LEAST
+            of, ln, s, e = of[keep], ln[keep], s[keep], e[keep]
+            n, take = e - s, pa.array(of + lo)
+            halves = []
+            for size, none in (((n - 1) // 2, n < LOOSE), (n // 2, (n < LOOSE) | (n % 2 == 1))):
+                length = size.astype(np.uint64) << np.uint64(1)
+                for x, side in ((rolling(words.hash, s, s + size), 0), (rolling(words.hash, e - size, e), 1)):
+                    halves.append(pa.array(signed(mix(x + length + np.uint64(side))), mask=none))
+            hashes = [pa.array(signed(rolling(v, s, e))) for v in (words.hash, mix(words.hash))]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(take), tids.take(take), pa.array(ln.astype(np.int32)), *hashes, *halves], names=["doc_id", "tid", "ln", "h", "g", "p1", "s1", "p2", "s2"]
+            )
+
+
+ACTIVE = "doc_id long, tid long, ln int, front boolean, back boolean, line string"
+
+
+def _cut_out(batches):
+    """The lines that a text's `marks` name, from the first word to the last."""
+    for batch in batches:
+        at = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tid", "marks")}
+        for lo, hi, texts in slabs(batch, fold=False):
+            words, of, ln, s, e = _lines_of(texts)
+            marks = at["marks"].slice(lo, hi - lo)
+            own = np.repeat(np.arange(texts.n), np.diff(np.asarray(marks.offsets)))
+            flat = marks.flatten()
+            want = np.asarray(flat.field("ln"))
+            # lines are sorted by text and number
+            place = np.searchsorted((of.astype(np.int64) << 32) | ln, (own.astype(np.int64) << 32) | want)
+            data = texts.data.tobytes()
+            line = [data[words.begin[i] : words.end[j - 1]].decode() for i, j in zip(s[place], e[place])]
+            take = pa.array(own + lo)
+            yield pa.RecordBatch.from_arrays(
+                [at["doc_id"].take(take), at["tid"].take(take), flat.field("ln"), flat.field("front"), flat.field("back"), pa.array(line, pa.string())],
+                names=["doc_id", "tid", "ln", "front", "back", "line"],
+            )
+
+
+VARIANTS = "v long, i int, doc_id long, tid long, ln int"
+
+
+def _leave_out(batches):
+    """Hashes of each line whole (i = -1) and without its word i, for the places that an edit may have."""
+    for batch in batches:
+        at = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tid", "ln")]
+        front, back = (np.asarray(batch.column(batch.schema.get_field_index(c)).cast(pa.int8())) for c in ("front", "back"))
+        for lo, hi, texts in slabs(batch, fold=False, column="line"):
+            words = texts.words()
+            s, e = words.first[:-1], words.first[1:]
+            n = e - s
+            half = (n - 1) // 2
+            begin = np.where(back[lo:hi] > 0, 0, half)
+            end = np.where(front[lo:hi] > 0, n, n - half)
+            size = end - begin
+            own = np.repeat(np.arange(texts.n), size)
+            i = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[own]
+            up, down = POWERS.to(len(words.hash) + 2)
+            total = np.zeros(len(words.hash) + 1, np.uint64)
+            np.cumsum(words.hash * up[: len(words.hash)], out=total[1:])
+            a, z = s[own], e[own]
+            cut = mix((total[a + i] - total[a]) * down[a] + (total[z] - total[a + i + 1]) * down[a + 1])
+            v = np.concatenate([rolling(words.hash, s, e), cut])
+            take = pa.array(np.concatenate([np.arange(texts.n), own]) + lo)
+            place = np.concatenate([np.full(texts.n, -1), i]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array(place), *[c.take(take) for c in at]], names=["v", "i", "doc_id", "tid", "ln"])
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
-    """Of distinct lines (at: sortable place, words) the `at` of those with an earlier one within one edit."""
-    variants = materialize(_variants(lines))
+    """Of distinct lines (doc_id, tid, ln, front, back, line) the place `at` of those with an earlier one within one edit."""
+    at = F.struct("doc_id", "tid", "ln").alias("at")
+    variants = materialize(lines.mapInArrow(_leave_out, VARIANTS).select("v", "i", at))
     first = variants.groupBy("v", "i").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1 or i < 0")
     same = variants.join(first.where("i >= 0").hint("merge"), ["v", "i"]).where("first < at").select("at", F.col("first").alias("by"))
     whole = first.where("i < 0").select("v", F.col("first").alias("whole"))
     cut = variants.where("i >= 0").join(whole.hint("merge"), "v").where("at <> whole")
     other = cut.select(F.greatest("at", "whole").alias("at"), F.least("at", "whole").alias("by"))
     pairs = same.unionByName(other).groupBy("at", "by").agg(F.lit(1).alias("one")).select("at", "by")
-    words = lines.select("at", "words")
+    words = lines.select(at, _words(F.col("line")).alias("words"))
     pairs = pairs.join(words, "at").join(words.select(F.col("at").alias("by"), F.col("words").alias("others")), "by")
     return pairs.where(_within_one("words", "others")).select("at").distinct()
 
@@ -74,41 +157,26 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    lines = (
-        keyed.select("doc_id", "tid", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-        .select("doc_id", "tid", "ln", _words(F.col("line")).alias("w"))
-        .select(
-            F.size("w").alias("n"),
-            F.struct("doc_id", "tid", "ln").alias("at"),
-            F.xxhash64("w").alias("h"),
-            F.xxhash64(F.lit(1), "w").alias("g"),
-            F.when(F.size("w") >= LOOSE, F.xxhash64(F.lit(2), F.slice("w", 1, END))).alias("head"),
-            F.when(F.size("w") >= LOOSE, F.xxhash64(F.lit(3), F.slice("w", -END, END))).alias("tail"),
-        )
-    )
     path = work_path(spark, "lines")
-    lines.write.parquet(path)
-    lines = spark.read.parquet(path).where(F.col("n") >= LEAST)
+    keyed.mapInArrow(_list_lines, LISTED).withColumn("at", F.struct("doc_id", "tid", "ln")).drop("doc_id", "tid", "ln").write.parquet(path)
+    lines = spark.read.parquet(path)
 
     path = work_path(spark, "distinct-lines")
-    folded = lines.groupBy("h", "g").agg(
-        F.min("at").alias("first"), F.max("at").alias("last"), F.first("head").alias("head"), F.first("tail").alias("tail")
-    )
+    halves = ("p1", "s1", "p2", "s2")
+    folded = lines.groupBy("h", "g").agg(F.min("at").alias("first"), F.max("at").alias("last"), *[F.max(c).alias(c) for c in halves])
     folded.write.parquet(path)
     distinct = spark.read.parquet(path)
 
-    ends = distinct.where("head is not null").select("first", F.explode(F.array("head", "tail")).alias("k"))
+    sides = F.array(*[F.struct(F.col(c).alias("k"), F.lit(c.startswith("p")).alias("front")) for c in halves])
+    ends = distinct.where("p1 is not null").select("first", F.explode(sides).alias("x")).select("first", "x.*").where("k is not null")
     shared = ends.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    active = ends.join(shared.hint("merge"), "k").select("first").distinct()
-    wanted = materialize(active.groupBy("first.doc_id", "first.tid").agg(F.collect_list("first.ln").alias("lns")))
-    texts = keyed.join(counted(wanted.toDF("w_id", "w_tid", "lns"), F.size("lns") + 2), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tid") == F.col("w_tid")))
-    words = (
-        texts.select("doc_id", "tid", "lns", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-        .where(F.array_contains("lns", F.col("ln")))
-        .select(F.struct("doc_id", "tid", "ln").alias("at"), _words(F.col("line")).alias("words"))
-    )
+    open_ = ends.join(shared.hint("merge"), "k").groupBy("first").agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
+    marks = F.collect_list(F.struct("first.ln", "front", "back"))
+    wanted = materialize(open_.groupBy("first.doc_id", "first.tid").agg(marks.alias("marks")))
+    texts = keyed.join(counted(wanted.toDF("w_id", "w_tid", "marks"), F.size("marks") + 2), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tid") == F.col("w_tid")))
     path = work_path(spark, "active-lines")
-    words.dropDuplicates(["at"]).write.parquet(path)
+    cut = texts.select("doc_id", "tid", "marks", "text").mapInArrow(_cut_out, ACTIVE)
+    cut.dropDuplicates(["doc_id", "tid", "ln"]).write.parquet(path)
     near = materialize(near_earlier(spark.read.parquet(path)))
 
     near = near.select(F.col("at").alias("first"), F.lit(True).alias("near"))
@@ -122,8 +190,11 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     gone = materialize(removed_lines(docs)).toDF("_llm_id", "_llm_tid", "_llm_gone")
     row = docs.withColumn("_llm_key", F.xxhash64("text"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_tid"))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_llm_gone", i))
-    text = F.when(F.col("_llm_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    last = F.size(F.split("text", "\n")) - 1
+    kept = F.array_except(F.sequence(F.lit(0), last), "_llm_gone")
+    # the lines are bound to a name, as they would be split anew for each number
+    rest = F.get(F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")), F.lit(0))
+    text = F.when(F.col("_llm_gone").isNull(), F.col("text")).otherwise(rest)
     return row.join(counted(gone, F.size("_llm_gone") + 2), on, "left").withColumn("text", text)
 
 
