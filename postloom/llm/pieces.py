@@ -39,6 +39,7 @@ class Vocabulary:
         crossing = any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
         self.chunks = None if crossing else re.compile(r" +[^ \n]*|[^ \n]+|\n")
         self.memory: dict[str, array] = {}
+        self.older: dict[str, array] = {}
         # every beginning of a piece, with the piece if it is one
         self.starts: dict[str, tuple[int, float] | None] = dict(pieces)
         for p in pieces:
@@ -115,40 +116,46 @@ class Vocabulary:
         return chain.from_iterable(reversed(steps))
 
     def _short(self, text: str) -> list[int]:
-        """What `search` finds, for a text within one window: forward from each place while a piece may begin there."""
-        n, marked, starts = len(text), text.replace(" ", MARK), self.starts
-        best, way = [-math.inf] * (n + 1), [(0, ())] * (n + 1)
+        """What `search` finds, for a text within one window and without the mark: forward from each place while a piece may begin there."""
+        n, marked, known = len(text), text.replace(" ", MARK), self.starts.get
+        best, back, last = [-math.inf] * (n + 1), [0] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
         for start in range(n):
             have, end = best[start], start + 1
-            hit = starts.get(marked[start:end], False)
-            if not hit or (marked[start] == MARK and text[start] == MARK):
+            hit = known(marked[start:end], False)
+            if not hit:
                 raw = text[start].encode("utf-8", "surrogatepass")
                 value = have + self.byte_score * len(raw)
                 if value > best[end]:
-                    best[end], way[end] = value, (start, tuple(self.byte_ids[b] for b in raw))
-                if text[start] == MARK:
-                    continue
+                    best[end], back[end], last[end] = value, start, raw
             while hit is not False:
                 if hit is not None:
                     value = have + hit[1]
                     if value > best[end]:
-                        best[end], way[end] = value, (start, (hit[0],))
-                if end == n:
-                    break
+                        best[end], back[end], last[end] = value, start, hit[0]
                 end += 1
-                hit = starts.get(marked[start:end], False)
+                if end > n:
+                    break
+                hit = known(marked[start:end], False)
         out, end = [], n
         while end:
-            end, ids = way[end]
-            out.append(ids)
-        return [i for ids in reversed(out) for i in ids]
+            piece = last[end]
+            if piece.__class__ is int:
+                out.append(piece)
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(piece))
+            end = back[end]
+        out.reverse()
+        return out
 
     def _chunk(self, chunk: str) -> array:
-        ids = array("i", self._short(chunk) if len(chunk) <= self.longest and MARK not in chunk else self.search(chunk))
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = array("i", self._short(chunk) if len(chunk) <= self.longest and MARK not in chunk else self.search(chunk))
         if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
+            if len(self.memory) >= REMEMBERED // 2:
+                # the older half goes; what is met again comes back from it
+                self.older, self.memory = self.memory, {}
             self.memory[chunk] = ids
         return ids
 
@@ -160,9 +167,9 @@ class Vocabulary:
         if self.chunks is None:
             out.extend(self.search(text))
             return out
-        known, new = self.memory.get, self._chunk
+        new = self._chunk
         for chunk in self.chunks.findall(text):
-            ids = known(chunk)
+            ids = self.memory.get(chunk)
             out += new(chunk) if ids is None else ids
         return out
 
@@ -216,7 +223,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
             for part in _parts(batch, ids):
                 texts = []
                 for x in part.column(part.schema.get_field_index(ids)):
-                    texts.append(vocabulary.decode(x.values.to_pylist()) if x.is_valid else None)
+                    texts.append(vocabulary.decode(x.values.to_numpy().tolist()) if x.is_valid else None)
                 cols = [part.column(part.schema.get_field_index(f.name)) for f in kept]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*[f.name for f in kept], out])
 
