@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         named = sc.getCheckpointDir()
     if named is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="postloom-")
     if sc.getCheckpointDir() is None:
