@@ -143,12 +143,13 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) ->
     texts = one.unionByName(folded.withColumn("leaves", F.lit(2)))
 
     anchors = texts.mapInArrow(_find_anchors(depth, prefix), "p long, t1 long, t2 long, leaves int, at int")
-    shared = anchors.groupBy("p").agg(F.sum("leaves").alias("n")).where("n > 1").select("p")
+    # tables of their own: a join whose sides are both plain shuffles can have its hot keys split
+    shared = materialize(anchors.groupBy("p").agg(F.sum("leaves").alias("n")).where("n > 1").select("p"))
     live = anchors.join(shared.hint("merge"), "p").groupBy("t1", "t2").agg(F.collect_list("at").alias("anchors"))
     live = materialize(live)
     near = _same(texts, live.hint("merge"), "inner").select("t1", "t2", "leaves", "anchors", "text")
     windows = near.mapInArrow(_find_windows(depth, prefix), "node long, t1 long, t2 long, leaves int, at int")
-    nodes = windows.groupBy("node").agg(F.sum("leaves").alias("n")).where("n > 1").select("node")
+    nodes = materialize(windows.groupBy("node").agg(F.sum("leaves").alias("n")).where("n > 1").select("node"))
     hit = windows.where("leaves = 1").join(nodes.hint("merge"), "node").groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
     spans = hit.mapInArrow(_runs(depth), "t1 long, t2 long, begins array<int>, ends array<int>")
     return many, materialize(spans)
