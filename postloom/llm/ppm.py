@@ -23,6 +23,7 @@ from .tokens import FOLD, slabs
 ORDER = 3
 EDGE = 0xFF
 BLOCK_ROWS = 4_096
+TALLY_BYTES = 1 << 20  # text that is counted at once; fewer, larger tallies hold fewer repeats
 
 
 def _bytes_of(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -96,11 +97,11 @@ def _requests(batches):
                 if tally is not None:
                     yield from flush()
                 block, tally = blocks[a], _Tally()
-            for lo, hi, texts in slabs(batch.slice(a, b - a), fold=False):
+            for lo, hi, texts in slabs(batch.slice(a, b - a), fold=False, size=TALLY_BYTES):
                 learn = train[a + lo : a + hi]
                 runs, first = _bytes_of(texts)
                 tally.add(_run_key(runs), np.repeat(learn, np.diff(first)))
-            for lo, hi, texts in slabs(batch.slice(a, b - a), fold=True):
+            for lo, hi, texts in slabs(batch.slice(a, b - a), fold=True, size=TALLY_BYTES):
                 learn = train[a + lo : a + hi]
                 tokens, first = _tokens(texts)
                 tally.add(tokens.view(np.int64), np.repeat(learn, np.diff(first)))

@@ -1,6 +1,6 @@
 """Words of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow column.
 
-A word is a run of bytes other than space and 0x09-0x0D. Texts are taken in slabs of a few megabytes,
+A word is a run of bytes other than space and 0x09-0x0D. Texts are taken in slabs of a quarter megabyte,
 so that memory follows the slab, or the longest single text, and never the partition. Null texts
 count as empty.
 """
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 18
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 FOLD = np.arange(256, dtype=np.uint8)
