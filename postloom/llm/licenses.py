@@ -2,10 +2,10 @@
 
 Texts are cut into overlapping windows, sized to the templates: a template of n words belongs to the
 smallest class W = 4, 8, 16, ... that holds it, and windows of 2W words start at every W-th word, so a
-notice lies whole in one of them. A window and a template meet if one of `BANDS` MinHash values agrees.
-A window with three quarters of a template's shingles has a Jaccard similarity to it of a
-quarter at least (0.75 n shared of at most 2W + 0.25 n, with W < 2n), so all 48 bands miss it with a
-probability of 1e-6 at most. Exact containment of the template's shingles then decides.
+notice lies whole in one of them. A window is compared with every template of its class that it shares a
+shingle with, and holds it if it has three quarters of its shingles. So no window is missed: whoever
+has three quarters of them has one. (MinHash bands would not do: a window of twelve shingles that holds a
+template of one has a Jaccard similarity to it of 1/12.)
 
 Only windows around certain words are looked at: for each template few words are named such that
 whoever lacks them all lacks more than a quarter of its shingles. That loses nothing.
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SHINGLE = 5
 PERCENT = 75
-BANDS = 48
 
 # Public license notices.
 TEMPLATES: dict[str, str] = {
@@ -57,13 +56,6 @@ def shingles(words: Column, k: Column | int) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, k))))
 
 
-def minhashes(hashes: Column) -> Column:
-    def least(seed):
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
-
-    return F.array(*[least(seed) for seed in range(BANDS)])
-
-
 def _plain_words(text: str) -> list[str]:
     return [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split() if w]
 
@@ -120,15 +112,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     windows = classed.select("doc_id", "w", F.col("c.size").alias("size"), F.col("c.k").alias("k"), F.explode(starts).alias("cell"))
     windows = windows.select("doc_id", "size", "k", "cell", F.slice("w", F.col("cell") * F.col("size") + 1, 2 * F.col("size")).alias("w"))
     windows = windows.withColumn("have", shingles(F.col("w"), F.col("k"))).where(F.size("have") > 0)
-    windows = windows.select("doc_id", "size", "k", "cell", "have", F.posexplode(minhashes(F.col("have"))).alias("band", "low"))
+    windows = windows.select("doc_id", "size", "k", "cell", "have", F.explode("have").alias("h"))
     words = F.split("plain", " ")
     n = F.size(words)
     size = F.greatest(F.lit(4), F.expr("cast(power(2, ceil(log2(size(split(plain, ' '))))) as int)"))
     sought = named.select("license", size.alias("size"), F.least(n, F.lit(SHINGLE)).alias("k"), words.alias("w"))
     sought = sought.withColumn("want", shingles(F.col("w"), F.col("k")))
-    sought = sought.select("license", "size", "k", "want", F.posexplode(minhashes(F.col("want"))).alias("band", "low"))
-    # a fixed table: as many rows as templates times bands
-    met = windows.join(F.broadcast(sought), ["size", "k", "band", "low"]).groupBy("doc_id", "license", "cell").agg(
+    sought = sought.select("license", "size", "k", "want", F.explode("want").alias("h"))
+    # a fixed table: as many rows as the templates have shingles
+    met = windows.join(F.broadcast(sought), ["size", "k", "h"]).groupBy("doc_id", "license", "cell").agg(
         F.first("have").alias("have"), F.first("want").alias("want")
     )
     share = F.size(F.array_intersect("have", "want"))

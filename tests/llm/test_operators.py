@@ -354,6 +354,19 @@ def test_licenses(spark):
         assert len(have(t) & have(w)) >= 0.75 * len(have(t))
 
 
+def test_every_exact_notice_is_found(spark):
+    """Short notices between many other words, at every place of a window; 300 random neighbourhoods each."""
+    rng = random.Random(10)
+    filler = lambda k: " ".join("f%d" % rng.randrange(10**6) for _ in range(k))
+    rows, planted = [], set()
+    for name in ("mit", "all-rights-reserved", "mpl-2.0-notice"):
+        for i in range(300):
+            planted.add((len(rows), name))
+            rows.append((len(rows), f"{filler(40 + i % 32)} {licenses.TEMPLATES[name]} {filler(80)}"))
+    found = {(r.doc_id, r.license): r.containment for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert found == {p: 1.0 for p in planted}
+
+
 # ---------------------------------------------------------------- 7
 
 
