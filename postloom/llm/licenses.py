@@ -88,7 +88,8 @@ def _needed(templates: dict[str, str]) -> dict[int, dict[int, list[str]]]:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, containment (greatest over windows), windows (how many hold it).
 
-    Null and empty texts hold none. Rows with one id are reported together; a null id is an id.
+    Null and empty texts hold none. Rows with one id are reported together; a null id is an id. Each text is
+    searched by itself, and repeated rows, equal in id and text, count as one.
     """
     templates = templates or TEMPLATES
     spark: SparkSession = docs.sparkSession
@@ -99,20 +100,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     gate = F.lit(False)
     for w in pivots:
         gate = gate | F.contains(lower, F.lit(w))
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(gate).select("doc_id", words_of(F.col("text")).alias("w"))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.col("text")).where(gate)
+    held = held.select("doc_id", "tid", words_of(F.col("text")).alias("w"))
     groups = [(size, k, ws) for size, by in needed.items() for k, ws in by.items()]
     spots = F.array(*[
         F.struct(F.lit(size).alias("size"), F.lit(k).alias("k"), F.array(*[F.lit(w) for w in ws]).alias("ws")) for size, k, ws in groups
     ])
     first = F.filter(F.transform("w", lambda w, i: F.when(F.array_contains(F.array(*[F.lit(x) for x in pivots]), w), i)), lambda i: i.isNotNull())
-    classed = held.withColumn("hits", first).select("doc_id", "w", "hits", F.explode(spots).alias("c"))
+    classed = held.withColumn("hits", first).select("doc_id", "tid", "w", "hits", F.explode(spots).alias("c"))
     at = F.filter("hits", lambda i: F.array_contains("c.ws", F.get("w", i)))
     cells = F.transform(at, lambda i: F.floor(i / F.col("c.size")).cast("int"))
     starts = F.array_distinct(F.concat(cells, F.transform(cells, lambda x: F.greatest(x - 1, F.lit(0)))))
-    windows = classed.select("doc_id", "w", F.col("c.size").alias("size"), F.col("c.k").alias("k"), F.explode(starts).alias("cell"))
-    windows = windows.select("doc_id", "size", "k", "cell", F.slice("w", F.col("cell") * F.col("size") + 1, 2 * F.col("size")).alias("w"))
+    windows = classed.select("doc_id", "tid", "w", F.col("c.size").alias("size"), F.col("c.k").alias("k"), F.explode(starts).alias("cell"))
+    windows = windows.select("doc_id", "tid", "size", "k", "cell", F.slice("w", F.col("cell") * F.col("size") + 1, 2 * F.col("size")).alias("w"))
     windows = windows.withColumn("have", shingles(F.col("w"), F.col("k"))).where(F.size("have") > 0)
-    windows = windows.select("doc_id", "size", "k", "cell", "have", F.explode("have").alias("h"))
+    windows = windows.select("doc_id", "tid", "size", "k", "cell", "have", F.explode("have").alias("h"))
     words = F.split("plain", " ")
     n = F.size(words)
     size = F.greatest(F.lit(4), F.expr("cast(power(2, ceil(log2(size(split(plain, ' '))))) as int)"))
@@ -120,7 +122,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     sought = sought.withColumn("want", shingles(F.col("w"), F.col("k")))
     sought = sought.select("license", "size", "k", "want", F.explode("want").alias("h"))
     # a fixed table: as many rows as the templates have shingles
-    met = windows.join(F.broadcast(sought), ["size", "k", "h"]).groupBy("doc_id", "license", "cell").agg(
+    met = windows.join(F.broadcast(sought), ["size", "k", "h"]).groupBy("doc_id", "tid", "license", "cell").agg(
         F.first("have").alias("have"), F.first("want").alias("want")
     )
     share = F.size(F.array_intersect("have", "want"))

@@ -367,6 +367,16 @@ def test_every_exact_notice_is_found(spark):
     assert found == {p: 1.0 for p in planted}
 
 
+def test_rows_with_one_id_hide_no_notice(spark):
+    near, far = "Licensed under the Apache License, Version 2", "a b c d"  # three of four shingles
+    whole = licenses.TEMPLATES["apache-2.0"]
+    for one in (7, None):
+        rows = [(one, near)] * 3 + [(one, whole)] * 2 + [(one, near + " " + far)] * 3
+        for order in (rows, rows[::-1]):
+            got = licenses.scan_licenses(frame(spark, order).coalesce(1)).collect()
+            assert [tuple(r) for r in got] == [(one, "apache-2.0", 1.0, 3)]
+
+
 # ---------------------------------------------------------------- 7
 
 
