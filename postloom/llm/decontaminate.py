@@ -2,10 +2,9 @@
 
 An item is found in a text if a window of the item's length has a weighted Jaccard similarity
 to it of 0.75 or more: shingles of five words (fewer for shorter items), each weighing as often as it
-occurs. Windows lie where a shared shingle puts the item's first word.
+occurs. Windows lie where a shared shingle puts the item's first word; the shingles at all places of a text are
+looked up, as the only one that puts a window where it fits best may be at any of them.
 
-Such a window shares a shingle at every second place or nearly so: at most a quarter of its shingles
-are not the item's, but half of all places are even, so shingles at even places find all windows.
 Each window gets a SimHash fingerprint of 64 bits. Fingerprints at a distance of up to 23 agree in one of eight
 blocks of eight bits up to two bits, so the items' blocks are listed with all variants up to two bits,
 and a window meets each item within the radius for certain. At similarity 0.75 the distance is 11 on average,
@@ -34,11 +33,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(even), " "), "")
 
 
-def shingles(words: Column, k: Column | int, step: int = 1) -> Column:
-    """Hashes of k neighbouring words from every `step`-th word on."""
+def shingles(words: Column, k: Column | int) -> Column:
+    """Hashes of k neighbouring words."""
     k = F.lit(k) if isinstance(k, int) else k
     last = F.size(words) - k + 1
-    at = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.xxhash64(F.slice(words, i, k)))
 
 
@@ -85,11 +84,10 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     sought = counted(sought)
     hits = None
     for k in sizes or [SHINGLE]:
-        step = 2 if k == SHINGLE else 1
         own = keyed.select("doc_id", "tid", words_of(F.col("text")).alias("w"))
-        own = own.select("doc_id", "tid", F.posexplode(shingles(F.col("w"), k, step)).alias("p", "h"))
+        own = own.select("doc_id", "tid", F.posexplode(shingles(F.col("w"), k)).alias("p", "h"))
         found = own.join(sought.where(F.col("k") == k), "h").select(
-            "doc_id", "tid", "k", "n", F.greatest(F.col("p") * step - F.col("j"), F.lit(0)).alias("start")
+            "doc_id", "tid", "k", "n", F.greatest(F.col("p") - F.col("j"), F.lit(0)).alias("start")
         )
         hits = found if hits is None else hits.unionByName(found)
     places = hits.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("k", "n", "start")).alias("places"))

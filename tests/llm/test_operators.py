@@ -328,6 +328,19 @@ def test_decontamination(spark):
     assert none.count() == len(rows)
 
 
+def test_items_at_every_place(spark):
+    """An item of five words, and one of 67 with a word inserted near either end, after 0 to 9 other words."""
+    short = "five words are one shingle"
+    long = ["i%d" % i for i in range(67)]
+    torn = " ".join([*long[:5], "more", *long[5:62], "more", *long[62:]])
+    rows = [(2 * n + one, " ".join(["other"] * n + [text, "and", "so", "on"])) for n in range(10) for one, text in enumerate((short, torn))]
+    benchmark = spark.createDataFrame([(0, short), (1, " ".join(long))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_items(frame(spark, rows), benchmark).collect()}
+    assert set(found) == {(d, d % 2) for d, _ in rows}
+    # of 63 shingles the best window lacks four at each insertion and the one that leaves its end
+    assert all(s == pytest.approx(54 / 72 if d % 2 else 1) for (d, _), s in found.items())
+
+
 # ---------------------------------------------------------------- 1
 
 
