@@ -15,7 +15,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line equals or nearly equals; documents left without a word go."""
-    return lines.dedup_lines(docs, drop_emptied=True)
+    return lines.dedup_lines(docs, drop_emptied=True, least=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Duplicate lines by a deletion-neighbourhood join.
 
 Lines are compared as sequences of lower-case words. A line of `LOOSE` words or more goes if an
-earlier line lies within one inserted, deleted or replaced word; a shorter one, of at least `LEAST`
-words, goes if an earlier line equals it; lines below `LEAST` words stay. Earlier means: by doc_id,
-then by place in the text. So the earliest line of any group always stays.
+earlier line lies within one inserted, deleted or replaced word; a shorter one, of at least `least`
+words, goes if an earlier line equals it; lines below `least` words stay. `least` is `LEAST` unless the caller
+says otherwise; the registered queries say 1, so that lines of every length that have a word are compared.
+Earlier means: by doc_id, then by place in the text. So the earliest line of any group always stays.
 
 Equal lines fold first. One edit leaves the first half of the words or the last half intact, so only
 lines that share either with another line can have a partner; of these all variants with one word of
@@ -49,8 +50,8 @@ def _lines_of(texts: Texts):
 LISTED = "doc_id long, tid long, ln int, h long, g long, p1 long, s1 long, p2 long, s2 long"
 
 
-def _list_lines(batches):
-    """Lines of LEAST words or more: two hashes of all words, and from LOOSE words on hashes of both halves.
+def _list_lines(batches, least):
+    """Lines of `least` words or more: two hashes of all words, and from LOOSE words on hashes of both halves.
 
     A half is n // 2 words, as the shorter line of a pair counts; as the longer one it counts (n - 1) // 2.
     """
@@ -58,7 +59,7 @@ def _list_lines(batches):
         ids, tids = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tid"))
         for lo, hi, texts in slabs(batch, fold=False):
             words, of, ln, s, e = _lines_of(texts)
-            keep = e - s >= LEAST
+            keep = e - s >= least
             of, ln, s, e = of[keep], ln[keep], s[keep], e[keep]
             n, take = e - s, pa.array(of + lo)
             halves = []
@@ -150,7 +151,7 @@ def _within_one(a: str, b: str) -> Column:
     return (F.size(long) - F.size(short) <= 1) & (rest == tail)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, tid, gone): numbers from 0 of the lines to remove; tid is the hash of the text.
 
     Repeated rows of one document, equal in id and text, count as one.
@@ -158,7 +159,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = _keyed(docs)
     path = work_path(spark, "lines")
-    keyed.mapInArrow(_list_lines, LISTED).withColumn("at", F.struct("doc_id", "tid", "ln")).drop("doc_id", "tid", "ln").write.parquet(path)
+    keyed.mapInArrow(lambda batches: _list_lines(batches, least), LISTED).withColumn("at", F.struct("doc_id", "tid", "ln")).drop("doc_id", "tid", "ln").write.parquet(path)
     lines = spark.read.parquet(path)
 
     path = work_path(spark, "distinct-lines")
@@ -186,8 +187,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("at.doc_id", "at.tid").agg(F.collect_list("at.ln").alias("gone"))
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
-    gone = materialize(removed_lines(docs)).toDF("_llm_id", "_llm_tid", "_llm_gone")
+def _cleaned(docs: DataFrame, least: int) -> DataFrame:
+    gone = materialize(removed_lines(docs, least)).toDF("_llm_id", "_llm_tid", "_llm_gone")
     row = docs.withColumn("_llm_key", F.xxhash64("text"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_tid"))
     last = F.size(F.split("text", "\n")) - 1
@@ -198,21 +199,21 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     return row.join(counted(gone, F.size("_llm_gone") + 2), on, "left").withColumn("text", text)
 
 
-def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False, least: int = LEAST) -> DataFrame:
     """`docs` with duplicate lines taken out of `text`; all other columns stay.
 
     Texts without a duplicate line stay byte for byte; null texts stay null. With `drop_emptied`
     documents that lose lines and keep no word go.
     """
-    out = _cleaned(docs)
+    out = _cleaned(docs, least)
     if drop_emptied:
         out = out.where(F.col("_llm_gone").isNull() | F.col("text").rlike(r"\S"))
     return out.select(*docs.columns)
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per row: doc_id, its lines, how many of them go, and the text that is left."""
     plain = docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
-    return _cleaned(plain).select(
+    return _cleaned(plain, least).select(
         "doc_id", "n_lines", F.coalesce(F.size("_llm_gone"), F.lit(0)).alias("n_removed"), "text"
     )

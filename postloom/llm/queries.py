@@ -22,7 +22,8 @@ def op1_license_scan(spark, sf_dir):
 
 
 def op2_line_dedup(spark, sf_dir):
-    return lines.line_report(documents(spark, sf_dir))
+    """Lines of every length that have a word are compared."""
+    return lines.line_report(documents(spark, sf_dir), least=1)
 
 
 def op3_near_duplicates(spark, sf_dir):

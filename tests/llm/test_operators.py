@@ -10,7 +10,8 @@ from math import log10
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.llm import decontaminate, licenses, lines, neardup, pieces, ppm, quality, rules, sharding, substrings
+import corpus_pipeline
+from postloom.llm import decontaminate, licenses, lines, neardup, pieces, ppm, quality, queries, rules, sharding, substrings
 from postloom.llm.queries import VOCABULARY
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -299,6 +300,16 @@ def test_lines(spark):
     assert {r.doc_id for r in kept.collect()} == {w[0] for w in want if w[2] == 0 or words(w[3])}
 
 
+def test_queries_compare_lines_of_every_length(spark, tmp_path):
+    text = "Yes\nso be it then\nTwo words"
+    rows = [(0, text), (1, text), (2, "two  WORDS\n\nnew"), (3, None), (4, " "), (5, " ")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect())
+    assert got == [(0, 3, 0, text), (1, 3, 3, ""), (2, 3, 1, "\nnew"), (3, 1, 0, None), (4, 1, 0, " "), (5, 1, 0, " ")]
+    kept = corpus_pipeline.line_dedup(spark, queries.documents(spark, str(tmp_path)), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4, 5]
+
+
 # ---------------------------------------------------------------- 5
 
 
