@@ -4,11 +4,21 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, lines, neardup, pieces, ppm, quality, rules, sharding, substrings
+from . import decontaminate, licenses, lines, merkle, neardup, packing, pieces, ppm, quality, rules, sharding, spelling, substrings
 
 VOCABULARY = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def word_tokenizer() -> str:
+    """Path of the vocabulary that packing counts in."""
+    named = os.environ.get("WORD_TOKENIZER")
+    if named is None:
+        import public_tokenizers
+
+        named = public_tokenizers.path("word_bpe_49k.json")
+    return named
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,6 +72,18 @@ def op10_sentencepiece(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.Manifest(documents(spark, sf_dir)).proofs()
+
+
+def op13_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), word_tokenizer())
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -72,7 +94,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_line_dedup, op3_near_duplicates, op4_byte_shards, op5_benchmark_decontamination,
-        op6_substring_dedup, op7_quality_classifier, op8_ppm_scores, op9_quality_rules, op10_sentencepiece, pipeline,
+        op6_substring_dedup, op7_quality_classifier, op8_ppm_scores, op9_quality_rules, op10_sentencepiece,
+        op11_spelling_variants, op12_merkle_manifest, op13_best_fit_packing, pipeline,
     )
 }
 
