@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from dataclasses import dataclass
+from itertools import chain
 from math import isqrt
 
 import numpy as np
@@ -34,15 +35,23 @@ END = b"\0\0\0\0"
 BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
-# How the vocabulary at hand prepares a text, and what that comes to for printable ASCII.
+# How the vocabulary at hand prepares a text, and what that comes to for printable ASCII and Latin-1 letters.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_SPLITTER = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTABLE = re.compile(rb"[!-~]+")
+LETTER = "a-zß-öø-ÿ"
+PLAIN_SPLITTER = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^{LETTER}0-9]+")
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
 
-def _prepares_ascii_plainly(definition: str) -> bool:
-    """Whether the normalizer and the splitter are those above, so that ASCII words can go to the model piece by piece."""
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself if it is printable, else the next one from 256 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(other)}
+
+
+def _prepares_plainly(definition: str) -> bool:
+    """Whether the normalizer and the splitter are those above, so that plain words can go to the model piece by piece."""
     parts = json.loads(definition)
     normal, split = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
     first, *rest = split.get("pretokenizers") or [{}]
@@ -57,8 +66,8 @@ def _prepares_ascii_plainly(definition: str) -> bool:
 class Tokens:
     """Ids of texts; words between white space, which the tokenizer drops, are remembered in a table of bounded bytes.
 
-    A new word goes through the tokenizer by itself. If it is printable ASCII and the vocabulary splits such words
-    in the known way, its pieces go straight to the tokenizer's model, which gives the same ids sooner.
+    A new word goes through the tokenizer by itself. If it is printable ASCII or Latin-1 letters, and the vocabulary splits
+    such words in the known way, its pieces go straight to the tokenizer's model, which gives the same ids sooner.
     """
 
     def __init__(self, definition: str):
@@ -78,42 +87,38 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_str(self.definition)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        plain = _prepares_ascii_plainly(self.definition) and all(re.search("[^A-Za-z]", s) for s in special)
+        plain = _prepares_plainly(self.definition) and all(re.search("[^A-Za-z]", s) for s in special)
         self.model = self.tokenizer.model if plain else None
-        self.special = re.compile("|".join(map(re.escape, special)).encode() or rb"(?!)")
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.letters = _byte_letters()
 
     def _piece(self, piece: bytes) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
-            ids = self.known[piece] = array("I", [t.id for t in self.model.tokenize(piece.decode())]).tobytes()
-            self.room -= len(piece) + len(ids) + ENTRY_BYTES
+            letters = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.letters)
+            ids = self.known[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            self.room -= len(piece) + len(ids)
         return ids
 
     def _learn(self, words: set[bytes]) -> None:
         if self.tokenizer is None:
             self._load()
-        known, piece, other, size = self.known, self._piece, [], 0
-        for w in words:
+        known, piece, other, before = self.known, self._piece, [], len(self.known)
+        for w in words if self.model else ():
             low = w.lower()
-            if self.model is None:
-                other.append(w)
-                continue
             if low.isalpha():
-                ids = piece(low)
-            elif PRINTABLE.fullmatch(w) and not self.special.search(w):
-                ids = b"".join(map(piece, ASCII_SPLITTER.findall(low)))
+                known[w] = known.get(low) or piece(low)
+            elif PLAIN.fullmatch(text := w.decode()) and not self.special.search(text):
+                known[w] = b"".join([piece(p.encode()) for p in PLAIN_SPLITTER.findall(text.lower())])
             else:
                 other.append(w)
-                continue
-            known[w] = ids
-            size += len(w) + ENTRY_BYTES
+        other = other if self.model else list(words)
         if other:
             coded = self.tokenizer.encode([w.decode() for w in other], is_pretokenized=True, add_special_tokens=False)
             ids, at = np.array(coded.ids, "<u4").tobytes(), np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(other) + 1)) * 4
             for i, w in enumerate(other):
                 known[w] = ids[at[i] : at[i + 1]]
-                size += len(w) + int(at[i + 1] - at[i]) + ENTRY_BYTES
-        self.room -= size
+        self.room -= sum(map(len, words)) + ENTRY_BYTES * (len(known) - before)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of some texts."""
@@ -133,7 +138,7 @@ class Tokens:
             left = [i for i in left if at[i] < len(texts[i])]
             if self.room < 0:
                 self.known, self.room = {}, REMEMBERED_BYTES
-            new = set().union(*split.values()).difference(self.known)
+            new = set(chain.from_iterable(split.values())).difference(self.known)
             if new:
                 self._learn(new)
             have = self.known.__getitem__
