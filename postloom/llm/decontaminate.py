@@ -2,8 +2,11 @@
 
 An item is found in a text if a window of the item's length has a weighted Jaccard similarity
 to it of 0.75 or more: shingles of five words (fewer for shorter items), each weighing as often as it
-occurs. Windows lie where a shared shingle puts the item's first word; the shingles at all places of a text are
-looked up, as the only one that puts a window where it fits best may be at any of them.
+occurs. A text shorter than the item is one window.
+
+Which windows can be best: slide a window to the left until its last shingle is one of an item's; that drops no shared
+shingle. So it is enough to look at windows that end in a shared shingle, in whatever order the item's parts stand. A
+window with fewer shared shingles than three quarters of the item's can't reach the similarity and is not opened.
 
 Each window gets a SimHash fingerprint of 64 bits. Fingerprints at a distance of up to 23 agree in one of eight
 blocks of eight bits up to two bits, so the items' blocks are listed with all variants up to two bits,
@@ -11,6 +14,7 @@ and a window meets each item within the radius for certain. At similarity 0.75 t
 with a deviation of 3. Exact similarity then decides.
 """
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +25,7 @@ from .joins import counted
 SHINGLE = 5
 PERCENT = 75
 BLOCKS, WIDTH, NEAR = 8, 8, 2
+LANE = 21  # bits of a counter
 RADIUS = BLOCKS * (NEAR + 1) - 1
 MASKS = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(WIDTH), n)]
 
@@ -42,14 +47,23 @@ def shingles(words: Column, k: Column | int) -> Column:
 
 
 def fingerprint(hashes: Column) -> Column:
-    """SimHash: a bit is set if more than half of the shingles, counted as often as they occur, have it."""
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda b: F.when(
-            2 * F.size(F.filter(hashes, lambda h: F.getbit(h, b) == 1)) > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)
-        ).otherwise(F.lit(0).cast("long")),
-    )
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    """SimHash: a bit is set if more than half of the shingles, counted as often as they occur, have it.
+
+    One pass with all counters: three of 21 bits in each number, so up to 2,097,151 shingles.
+    """
+    spread = F.lit([sum(((v >> i) & 1) << (LANE * i) for i in range(3)) for v in range(8)])
+    parts = range(0, 64, 3)
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{b}") for b in parts])
+    add = lambda s, h: F.struct(*[
+        (s[f"c{b}"] + F.get(spread, F.shiftrightunsigned(h, b).bitwiseAND(F.lit(7)).cast("int")).cast("long")).alias(f"c{b}") for b in parts
+    ])
+    count = lambda s, b: F.shiftright(s[f"c{b - b % 3}"], LANE * (b % 3)).bitwiseAND(F.lit((1 << LANE) - 1))
+
+    def done(s):
+        bits = [F.when(2 * count(s, b) > F.size(hashes), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(0) for b in range(64)]
+        return reduce(lambda x, y: x.bitwiseOR(y), [b.cast("long") for b in bits])
+
+    return F.aggregate(hashes, zero, add, done)
 
 
 def _block(f: Column, i: int) -> Column:
@@ -59,7 +73,10 @@ def _block(f: Column, i: int) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """Shared weight over joint weight of two shingle lists."""
     count = lambda x, h: F.size(F.filter(x, lambda y: y == h))
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, h: n + F.least(count(a, h), count(b, h)))
+    common = F.array_intersect(a, b)
+    # where no shingle is repeated, each common one weighs one
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    both = F.when(plain, F.size(common)).otherwise(F.aggregate(common, F.lit(0), lambda n, h: n + F.least(count(a, h), count(b, h))))
     return both / (F.size(a) + F.size(b) - both)
 
 
@@ -80,17 +97,22 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     )
     want = materialize(want)
     sizes = [r["k"] for r in want.select("k").distinct().collect()]  # five values at most
-    sought = materialize(want.select("k", "n", F.posexplode("want").alias("j", "h")).distinct())
+    sought = materialize(want.select("k", "n", F.explode("want").alias("h")).distinct())
     sought = counted(sought)
     hits = None
     for k in sizes or [SHINGLE]:
         own = keyed.select("doc_id", "tid", words_of(F.col("text")).alias("w"))
         own = own.select("doc_id", "tid", F.posexplode(shingles(F.col("w"), k)).alias("p", "h"))
-        found = own.join(sought.where(F.col("k") == k), "h").select(
-            "doc_id", "tid", "k", "n", F.greatest(F.col("p") - F.col("j"), F.lit(0)).alias("start")
-        )
+        found = own.join(sought.where(F.col("k") == k), "h").select("doc_id", "tid", "k", "n", "p")
         hits = found if hits is None else hits.unionByName(found)
-    places = hits.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("k", "n", "start")).alias("places"))
+    ends = hits.groupBy("doc_id", "tid", "k", "n").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    # enough shared shingles between the window's first place and its last one
+    least = F.ceil((F.col("n") - F.col("k") + 1) * percent / F.lit(100)).cast("int")
+    first = lambda p: p - (F.col("n") - F.col("k"))
+    fit = F.filter("at", lambda p, i: (i >= least - 1) & (F.get("at", F.greatest(i - least + 1, F.lit(0))) >= first(p)))
+    starts = F.array_distinct(F.transform(fit, lambda p: F.greatest(first(p), F.lit(0))))
+    opened = ends.select("doc_id", "tid", "k", "n", starts.alias("starts")).where(F.size("starts") > 0)
+    places = opened.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct("k", "n", s.alias("start"))))).alias("places"))
     places = materialize(places.toDF("p_id", "p_tid", "places"))
     same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("tid") == F.col("p_tid"))
     windows = (

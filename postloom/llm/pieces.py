@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MARK = "▁"
-REMEMBERED = 300_000
+REMEMBERED_BYTES = 12 << 20
+ENTRY_BYTES = 200  # of an entry besides its characters and ids
 LONGEST_REMEMBERED = 64
 BYTE_PENALTY = 10.0
 
@@ -40,6 +41,7 @@ class Vocabulary:
         self.chunks = None if crossing else re.compile(r" +[^ \n]*|[^ \n]+|\n")
         self.memory: dict[str, array] = {}
         self.older: dict[str, array] = {}
+        self.room = REMEMBERED_BYTES // 2
         # every beginning of a piece, with the piece if it is one
         self.starts: dict[str, tuple[int, float] | None] = dict(pieces)
         for p in pieces:
@@ -153,10 +155,11 @@ class Vocabulary:
         if ids is None:
             ids = array("i", self._short(chunk) if len(chunk) <= self.longest and MARK not in chunk else self.search(chunk))
         if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self.memory) >= REMEMBERED // 2:
+            if self.room < 0:
                 # the older half goes; what is met again comes back from it
-                self.older, self.memory = self.memory, {}
+                self.older, self.memory, self.room = self.memory, {}, REMEMBERED_BYTES // 2
             self.memory[chunk] = ids
+            self.room -= ENTRY_BYTES + len(chunk) + 4 * len(ids)
         return ids
 
     def encode(self, text: str) -> array:
@@ -178,7 +181,7 @@ class Vocabulary:
         return raw[1:].decode("utf-8", "surrogatepass") if raw[:1] == b" " else raw.decode("utf-8", "surrogatepass")
 
 
-def _parts(batch: pa.RecordBatch, column: str, size: int = 1 << 21):
+def _parts(batch: pa.RecordBatch, column: str, size: int = 1 << 19):
     """Slices of a batch of about `size` bytes of one column."""
     col = batch.column(batch.schema.get_field_index(column))
     if pa.types.is_list(col.type):
@@ -199,11 +202,26 @@ def _ints(lists: list[array], present: list[bool]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([not p for p in present]))
 
 
+def _shared(docs: DataFrame, vocabulary: Vocabulary):
+    """The vocabulary for tasks: sent once per executor as plain data, and built once per worker process."""
+    sent = docs.sparkSession.sparkContext.broadcast({"state": vocabulary.__getstate__()})
+
+    def get() -> Vocabulary:
+        held = sent.value
+        if "built" not in held:
+            held["built"] = Vocabulary(*held.pop("state"))
+        return held["built"]
+
+    return get
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, out: str = "ids") -> DataFrame:
     """`docs` with the ids of each text; an empty text has none, a null text null."""
     kept = [f for f in docs.schema.fields if f.name != out]
+    get = _shared(docs, vocabulary)
 
     def run(batches):
+        vocabulary = get()
         for batch in batches:
             for part in _parts(batch, "text"):
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
@@ -217,8 +235,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, out: str = "ids") -> DataFra
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`encoded` with the text of each list of ids; null for null."""
     kept = [f for f in encoded.schema.fields if f.name != out]
+    get = _shared(encoded, vocabulary)
 
     def run(batches):
+        vocabulary = get()
         for batch in batches:
             for part in _parts(batch, ids):
                 texts = []
