@@ -19,6 +19,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
 from ..session import materialize
 from .joins import counted
 
@@ -112,15 +113,16 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     fit = F.filter("at", lambda p, i: (i >= least - 1) & (F.get("at", F.greatest(i - least + 1, F.lit(0))) >= first(p)))
     starts = F.array_distinct(F.transform(fit, lambda p: F.greatest(first(p), F.lit(0))))
     opened = ends.select("doc_id", "tid", "k", "n", starts.alias("starts")).where(F.size("starts") > 0)
-    places = opened.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct("k", "n", s.alias("start"))))).alias("places"))
-    places = materialize(places.toDF("p_id", "p_tid", "places"))
+    places = opened.groupBy("doc_id", "tid", "k").agg(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct("n", s.alias("start"))))).alias("places"))
+    places = materialize(places.toDF("p_id", "p_tid", "k", "places"))
     same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("tid") == F.col("p_tid"))
+    # words and shingles of a text are bound to names, as they would be made anew for each window
+    cut = lambda hashes: F.transform("places", lambda x: F.struct(x["n"].alias("n"), F.slice(hashes, x["start"] + 1, x["n"] - F.col("k") + 1).alias("have")))
+    windows = let(words_of(F.col("text")), lambda w: let(shingles(w, F.col("k")), cut))
     windows = (
         keyed.join(counted(places, F.size("places") * 2 + 4), same)
-        .select("doc_id", "places", words_of(F.col("text")).alias("w"))
-        .select("doc_id", "w", F.explode("places").alias("x"))
-        .select("doc_id", "x.k", "x.n", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"))
-        .select("doc_id", "k", "n", shingles(F.col("w"), F.col("k")).alias("have"))
+        .select("doc_id", "k", F.explode(windows).alias("x"))
+        .select("doc_id", "k", "x.n", "x.have")
         .where(F.size("have") > 0)
         .distinct()
         .withColumn("print", fingerprint(F.col("have")))
