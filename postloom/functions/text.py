@@ -117,21 +117,13 @@ def tech_stack(c, keywords=TECH_KEYWORDS) -> Column:
     """
     t = text(c)
     low = F.translate(F.lower(t), "ſ", "s")
-    lexicon = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("name"),
-                F.lit(k.lower()).alias("low"),
-                F.lit(rf"(?iu)(?<![a-zA-Z])\Q{k}\E(?![a-zA-Z])").alias("pattern"),
-            )
-            for k in keywords
-        ]
-    )
-    hits = let(
-        F.struct(t.alias("text"), low.alias("low")),
-        lambda v: F.filter(lexicon, lambda k: F.contains(v["low"], k["low"]) & F.rlike(v["text"], k["pattern"])),
-    )
-    return F.transform(hits, lambda k: k["name"])
+
+    def found(v, k: str) -> Column:
+        # a literal pattern is compiled once
+        pattern = rf"(?iu)(?<![a-zA-Z])\Q{k}\E(?![a-zA-Z])"
+        return F.when(F.contains(v["low"], F.lit(k.lower())) & F.rlike(v["text"], F.lit(pattern)), F.lit(k))
+
+    return let(F.struct(t.alias("text"), low.alias("low")), lambda v: F.array_compact(F.array(*[found(v, k) for k in keywords])))
 
 
 def absolute_url(href, host: str) -> Column:

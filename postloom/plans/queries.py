@@ -243,6 +243,11 @@ def location_tokens(spark, sf):
     return stats.location_tokens(postings(spark, sf))
 
 
+@query
+def facet_board(spark, sf):
+    return stats.facet_board(enriched(spark, sf))
+
+
 @query
 def direct_sources(spark, sf):
     return stats.direct_sources(postings(spark, sf))
@@ -662,6 +667,19 @@ def article_pages(spark, sf):
     return html_feeds.rallit(pages)
 
 
+@query
+def feed_rejects(spark, sf):
+    """Replies of one feed, every second page of them broken in some way: what is not read, and why."""
+    p, c = _p(spark, sf)
+    k = c["ingest_seq"]
+    title = F.when(k % 7 == 0, "").otherwise(c["title"])
+    record = F.when(k % 9 != 0, F.struct(k.alias("id"), title.alias("position")))
+    pages = json_pages(p, record, lambda b: F.struct(b.alias("data")))
+    kind = F.col("page") % 5
+    broken = F.when(kind == 1, F.expr("left(payload, length(payload) - 3)")).when(kind == 2, '{"data": {"error": "busy"}}').when(kind == 3, '{"message": "none"}')
+    return json_feeds.rejects(pages.withColumn("payload", F.coalesce(broken, "payload")), "wanted")
+
+
 @query
 def feed_union(spark, sf):
     every = feeds.union_feeds(feed_wanted(spark, sf), feed_jumpit(spark, sf), feed_coupang(spark, sf), feed_rallit(spark, sf))
@@ -685,6 +703,19 @@ def stream_dedup(spark, sf):
     return spark.read.schema("uid string").parquet(out)
 
 
+@query
+def stream_dedup_window(spark, sf):
+    """The first event of each user and type in each hour, with state bounded by the watermark."""
+    schema = table(spark, sf, "events").schema
+    events = streaming.landed_stream(spark, sf, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out, state = work_path(spark, "window-out"), work_path(spark, "window-state")
+    keys = ["user_id", "event_type"]
+    streaming.write_updates(streaming.first_per_window(events, keys, "ts", "event_id"), out, state).awaitTermination()
+    written = spark.read.schema("window_start timestamp, user_id long, event_type string, first long").parquet(out)
+    latest = written.groupBy("window_start", *keys).agg(F.min("first").alias("first_event"))
+    return latest.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query
 def stream_ingest(spark, sf):
     store = PostingStore(spark, work_path(spark, "stream-store"))

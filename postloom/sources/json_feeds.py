@@ -5,7 +5,7 @@ is null-safe: a record with a hole in it loses only that field. Replies that are
 yield nothing here and are listed by `unreadable`.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import contains_any, or_default, strip, text
 from ..lexicons import ALWAYS_OPEN, COUPANG_TERMS, DEV_LABEL
@@ -29,10 +29,23 @@ def raw_posting(df: DataFrame, source: str, keep=("ingest_seq",), **fields: Colu
     return df.select(*[c for c in keep if c in df.columns], *[v.alias(c) for c, v in values.items()])
 
 
+def _parted(schema: str, path: str) -> tuple[T.StructType, T.StructType]:
+    """The schema of a reply with its records as texts, and the schema of a record."""
+    whole = T.StructType.fromDDL(schema)
+    names, record = path.split("."), whole
+    for name in names:
+        record = record[name].dataType
+    outer: T.DataType = T.ArrayType(T.StringType())
+    for name in reversed(names):
+        outer = T.StructType([T.StructField(name, outer)])
+    return outer, record.elementType
+
+
 def records(landed: DataFrame, schema: str, path: str) -> DataFrame:
-    """One row per record of a reply, as column `i`."""
-    parsed = landed.withColumn("_r", F.from_json("payload", schema))
-    return parsed.select("*", F.explode(f"_r.{path}").alias("i")).drop("_r")
+    """One row per record of a reply, as column `i`; each is parsed by itself, so that one of the wrong shape costs no other."""
+    outer, record = _parted(schema, path)
+    parsed = landed.withColumn("_r", F.from_json("payload", outer))
+    return parsed.select("*", F.explode(f"_r.{path}").alias("_i")).withColumn("i", F.from_json("_i", record)).drop("_r", "_i")
 
 
 def unreadable(landed: DataFrame) -> DataFrame:
@@ -40,6 +53,32 @@ def unreadable(landed: DataFrame) -> DataFrame:
     return landed.where(F.try_parse_json("payload").isNull())
 
 
+# Where a feed's records are, and the field without which a record is no posting.
+SHAPES = {
+    "wanted": (WANTED, "data", "position"),
+    "jumpit": (JUMPIT, "result.positions", "title"),
+    "saramin": (SARAMIN, "jobs.job", None),
+    "coupang": (COUPANG, "jobs", "title"),
+}
+
+
+def rejects(landed: DataFrame, feed: str, keep=("page",)) -> DataFrame:
+    """What a feed's reader leaves out and why: the `keep` columns, nth (place in the reply, null for a whole reply), reason.
+
+    "not json": the reply is no JSON; "wrong shape": it has no array of records where the feed has them; "null record";
+    "wrong record": it is no object; "no title". A reply with an empty array is neither read nor rejected: it holds no record.
+    """
+    schema, path, title = SHAPES[feed]
+    outer, record = _parted(schema, path)
+    parsed = landed.select(*keep, "payload", F.from_json("payload", outer).alias("_r"))
+    whole = F.when(F.try_parse_json("payload").isNull(), "not json").when(F.col(f"_r.{path}").isNull(), "wrong shape")
+    replies = parsed.select(*keep, F.lit(None).cast("int").alias("nth"), whole.alias("reason"))
+    each = parsed.where(whole.isNull()).select(*keep, F.posexplode(f"_r.{path}").alias("nth", "i"))
+    blank = F.lit(False) if title is None else text(F.from_json("i", record)[title]) == ""
+    why = F.when(F.col("i").isNull(), "null record").when(~F.col("i").startswith("{"), "wrong record").when(blank, "no title")
+    return replies.unionByName(each.select(*keep, "nth", why.alias("reason"))).where("reason IS NOT NULL")
+
+
 def known_id(c: Column, prefix: str) -> Column:
     return F.when(text(c).isin("", "0"), "").otherwise(F.concat(F.lit(prefix), c))
 

@@ -1,6 +1,6 @@
 """Incremental form: landed postings as a file stream."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import dedup_rules, with_uid
@@ -49,3 +49,29 @@ def dedup_stream(stream: DataFrame, event_time: str | None = None, delay: str |
     if event_time and delay:
         return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["uid"])
     return rows.dropDuplicates(["uid"])
+
+
+def first_per_window(stream: DataFrame, keys, event_time: str, order: str, size: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """(window_start, keys, first): the smallest `order` of each key in each window of event time.
+
+    State holds the windows that the watermark has not passed, whatever the age of the stream. A row whose window ended
+    more than `delay` before the latest event time of the batches before is late and dropped.
+    """
+    return (
+        stream.withWatermark(event_time, delay)
+        .groupBy(F.window(event_time, size), *keys)
+        .agg(F.min(order).alias("first"))
+        .select(F.col("window.start").alias("window_start"), *keys, "first")
+    )
+
+
+def write_updates(updates: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Each batch's new values as a folder of its own, which a repeated batch replaces."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        updates.writeStream.outputMode("update").foreachBatch(put)
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    )

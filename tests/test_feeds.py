@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from postloom.sources import feeds, html_feeds, json_feeds
 
 
@@ -159,3 +161,24 @@ def test_union_and_selection(spark, raw):
     every = feeds.union_feeds(one, two)
     assert every.count() == 2
     assert feeds.only_sites(every, ["토스"]).count() == 1 and feeds.only_sites(every).count() == 2
+
+
+def test_reads_and_rejects_are_all_that_landed(spark):
+    good = '{"id": "1", "position": "Dev"}'
+    rows = [
+        (0, '{"data": [%s, null, {"id": "2"}, {"id": "3", "position": "  "}, {"position": "Ops", "company": null}]}' % good),
+        (1, '{"data": [' + good), (2, "[]"), (3, '{"data": "none"}'), (4, '{"data": null}'), (5, None), (6, ""), (7, '{"data": []}'), (8, '{"data": [7, %s]}' % good),
+    ]
+    landed = spark.createDataFrame(rows, "page int, payload string").withColumn("label", F.lit("x"))
+    got = {(r.page, r.nth): r.reason for r in json_feeds.rejects(landed, "wanted").collect()}
+    assert got == {
+        (0, 1): "null record", (0, 2): "no title", (1, None): "not json", (2, None): "wrong shape", (3, None): "wrong shape",
+        (4, None): "wrong shape", (5, None): "not json", (6, None): "not json", (8, 0): "wrong record",
+    }
+    read = json_feeds.wanted(landed)
+    assert sorted(r.title for r in read.collect()) == ["", "Dev", "Dev", "Ops"]  # a title of blanks is read, as blank
+    # five records of page 0 and two of page 8
+    assert read.count() + sum(nth is not None for _, nth in got) == 7
+    for feed in json_feeds.SHAPES:
+        assert json_feeds.rejects(landed.where("page = 1"), feed).count() == 1
+        assert json_feeds.rejects(landed.limit(0), feed).count() == 0

@@ -156,3 +156,29 @@ def test_merge_folds_repeats_and_drops_blank_uids(spark):
     old, new = records(spark, DAY1, *OLD), records(spark, DAY2, *NEW, *NEW)
     assert deadlines(upsert.merge(old, new)) == WANT and upsert.merge(old, new).count() == len(WANT)
     assert tuple(upsert.counts(old, new).head()) == (1, 3, 2)
+
+
+def test_windows_of_a_stream_forget_what_is_over(spark, tmp_path):
+    """Batches one by one: the first of each key and hour, late rows dropped, state bounded by the watermark."""
+    from postloom.streaming import ingest as streaming
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    path, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    at = lambda hour, minute=0: f"2026-01-01 {hour:02d}:{minute:02d}:00"
+    batches = [
+        [(5, at(1), 1, "a"), (4, at(1, 30), 1, "a"), (6, at(1), 2, "a")],
+        [(3, at(1, 59), 1, "a"), (7, at(9), 1, "a")],  # within the delay still
+        [(1, at(1), 1, "a"), (8, at(9, 1), 1, "a"), (9, at(8, 30), 2, None)],  # the first one is late
+    ]
+    last = None
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+        frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+        stream = streaming.landed_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
+        run = streaming.write_updates(streaming.first_per_window(stream, ["user_id", "event_type"], "ts", "event_id"), out, state)
+        run.awaitTermination()
+        last = run.lastProgress
+    got = spark.read.schema("window_start timestamp, user_id long, event_type string, first long").parquet(out)
+    best = {(str(r.window_start)[11:13], r.user_id, r.event_type): r.m for r in got.groupBy("window_start", "user_id", "event_type").agg(F.min("first").alias("m")).collect()}
+    assert best == {("01", 1, "a"): 3, ("01", 2, "a"): 6, ("09", 1, "a"): 7, ("08", 2, None): 9}
+    assert last["stateOperators"][0]["numRowsTotal"] <= 2  # the windows of one o'clock are gone

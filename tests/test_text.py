@@ -131,3 +131,19 @@ def test_simple_filters_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([("a", 1)], "source string, min_exp int").write.parquet(path)
     plan = spark.read.parquet(path).where(filters.table_filter(sources=["a", "b"], min_exp=3))._jdf.queryExecution().executedPlan().toString()
     assert "In(source" in plan and "LessThanOrEqual(min_exp,3)" in plan.replace("PushedFilters: [", "")
+
+
+def test_facets_come_from_one_scan(spark, tmp_path):
+    from postloom.operators import stats
+
+    rows = [("서울, 판교", "x", "s1", 3, ["Java", "Go"]), ("서울", None, "s1", None, None), (None, "x", "s2", -1, ["Go"])]
+    spark.createDataFrame(rows, "location string, keyword string, source string, min_exp int, tech_stack array<string>").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    board = stats.facet_board(df, {"tech": 1})
+    got = {(r.facet, r.value): (r.cnt, r["rank"]) for r in board.collect()}
+    assert got[("tech", "Go")] == (2, 1) and ("tech", "Java") not in got
+    assert got[("token", "서울")] == (2, 1) and got[("token", "판교")] == (1, 2)
+    assert got[("source", "s1")] == (2, 1) and got[("min_exp", "-1")] == (1, 1) and got[("keyword", "x")] == (2, 1)
+    assert sum(n for (f, _), (n, _) in got.items() if f == "location") == 3
+    assert board._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert stats.facet_board(df.limit(0)).count() == 0
