@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MARK = "▁"
-REMEMBERED_BYTES = 12 << 20
+REMEMBERED_BYTES = 72 << 20
 ENTRY_BYTES = 200  # of an entry besides its characters and ids
 LONGEST_REMEMBERED = 64
 BYTE_PENALTY = 10.0
