@@ -1,8 +1,9 @@
 """Duplicate lines by a deletion-neighbourhood join.
 
 Lines are compared as sequences of lower-case words. A line of `LOOSE` words or more goes if an
-earlier line lies within one inserted, deleted or replaced word; a shorter one, of at least `least`
-words, goes if an earlier line equals it; lines below `least` words stay. `least` is `LEAST` unless the caller
+earlier line, whatever its length, lies within one inserted, deleted or replaced word; a shorter one, of at least
+`least` words, goes if an earlier line equals it; lines below `least` words stay. So one edit leaves three quarters
+of a line's words at the least, and the bound is one word for longer lines too. `least` is `LEAST` unless the caller
 says otherwise; the registered queries say 1, so that lines of every length that have a word are compared.
 Earlier means: by doc_id, then by place in the text. So the earliest line of any group always stays.
 
@@ -21,7 +22,7 @@ from ..session import materialize, work_path
 from .joins import counted
 from .tokens import POWERS, Texts, mix, rolling, signed, slabs
 
-LEAST, LOOSE = 3, 8
+LEAST, LOOSE = 3, 4
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -51,9 +52,10 @@ LISTED = "doc_id long, tid long, ln int, h long, g long, p1 long, s1 long, p2 lo
 
 
 def _list_lines(batches, least):
-    """Lines of `least` words or more: two hashes of all words, and from LOOSE words on hashes of both halves.
+    """Lines of `least` words or more: two hashes of all words, and hashes of both halves of those that a pair may hold.
 
-    A half is n // 2 words, as the shorter line of a pair counts; as the longer one it counts (n - 1) // 2.
+    A half is n // 2 words, as the shorter line of a pair counts; as the longer one it counts (n - 1) // 2. The shorter
+    line of a pair may have a word less than `LOOSE`.
     """
     for batch in batches:
         ids, tids = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tid"))
@@ -63,7 +65,7 @@ def _list_lines(batches, least):
             of, ln, s, e = of[keep], ln[keep], s[keep], e[keep]
             n, take = e - s, pa.array(of + lo)
             halves = []
-            for size, none in (((n - 1) // 2, n < LOOSE), (n // 2, (n < LOOSE) | (n % 2 == 1))):
+            for size, none in (((n - 1) // 2, n < LOOSE - 1), (n // 2, (n < LOOSE - 1) | (n % 2 == 1))):
                 length = size.astype(np.uint64) << np.uint64(1)
                 for x, side in ((rolling(words.hash, s, s + size), 0), (rolling(words.hash, e - size, e), 1)):
                     halves.append(pa.array(signed(mix(x + length + np.uint64(side))), mask=none))
@@ -101,7 +103,7 @@ VARIANTS = "v long, i int, doc_id long, tid long, ln int"
 
 
 def _leave_out(batches):
-    """Hashes of each line whole (i = -1) and without its word i, for the places that an edit may have."""
+    """Hashes of each line whole (i = -1) and, from `LOOSE` words on, without its word i, for the places that an edit may have."""
     for batch in batches:
         at = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tid", "ln")]
         front, back = (np.asarray(batch.column(batch.schema.get_field_index(c)).cast(pa.int8())) for c in ("front", "back"))
@@ -112,7 +114,7 @@ def _leave_out(batches):
             half = (n - 1) // 2
             begin = np.where(back[lo:hi] > 0, 0, half)
             end = np.where(front[lo:hi] > 0, n, n - half)
-            size = end - begin
+            size = np.where(n < LOOSE, 0, end - begin)
             own = np.repeat(np.arange(texts.n), size)
             i = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[own]
             up, down = POWERS.to(len(words.hash) + 2)
@@ -127,7 +129,7 @@ def _leave_out(batches):
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
-    """Of distinct lines (doc_id, tid, ln, front, back, line) the place `at` of those with an earlier one within one edit."""
+    """Of distinct lines (doc_id, tid, ln, front, back, line) the place `at` of those of `LOOSE` words with an earlier one within one edit."""
     at = F.struct("doc_id", "tid", "ln").alias("at")
     variants = materialize(lines.mapInArrow(_leave_out, VARIANTS).select("v", "i", at))
     first = variants.groupBy("v", "i").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1 or i < 0")
@@ -138,7 +140,7 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     pairs = same.unionByName(other).groupBy("at", "by").agg(F.lit(1).alias("one")).select("at", "by")
     words = lines.select(at, _words(F.col("line")).alias("words"))
     pairs = pairs.join(words, "at").join(words.select(F.col("at").alias("by"), F.col("words").alias("others")), "by")
-    return pairs.where(_within_one("words", "others")).select("at").distinct()
+    return pairs.where((F.size("words") >= LOOSE) & _within_one("words", "others")).select("at").distinct()
 
 
 def _within_one(a: str, b: str) -> Column:
