@@ -4,8 +4,8 @@ The suffixes of all texts, as word sequences, are split by prefixes of growing l
 prefix nobody else has leaves the tree. First step: prefixes of `PREFIX` words, looked at only where
 they are the least of a window (minimisers), because two equal windows have the same least prefix at
 the same place; this drops almost all suffixes for a tenth of the rows. Second step: what is left
-grows to the full depth of `DEPTH` words. A node at that depth with two leaves or more is a repeated
-window; leaves are counted before the shuffle, so a passage that a third of all texts share is one
+grows to the full depth of `DEPTH` words. A node is named by two 64-bit hashes of its path (their polynomials run over
+different values of the words). A node at that depth with two leaves or more is a repeated window; leaves are counted before the shuffle, so a passage that a third of all texts share is one
 row per task. Runs of repeated windows in one text are its maximal repeated stretches.
 
 Equal texts fold first: one stands for all, and its leaves count double.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .joins import counted
-from .tokens import signed, slabs
+from .tokens import mix, rolling, signed, slabs
 
 DEPTH = 35
 PREFIX = 8
@@ -94,11 +94,12 @@ def _find_windows(depth, prefix):
                 starts, keys = words.windows(depth)
                 keep = near[starts]
                 starts, keys = starts[keep], keys[keep]
+                more = rolling(mix(words.hash), starts, starts + depth)
                 of = words.text_of()[starts]
                 take = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(keys)), *[cols[c].take(take) for c in ("t1", "t2", "leaves")], pa.array((starts - words.first[of]).astype(np.int32))],
-                    names=["node", "t1", "t2", "leaves", "at"],
+                    [pa.array(signed(keys)), pa.array(signed(more)), *[cols[c].take(take) for c in ("t1", "t2", "leaves")], pa.array((starts - words.first[of]).astype(np.int32))],
+                    names=["node", "more", "t1", "t2", "leaves", "at"],
                 )
 
     return run
@@ -148,9 +149,9 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) ->
     live = anchors.join(shared.hint("merge"), "p").groupBy("t1", "t2").agg(F.collect_list("at").alias("anchors"))
     live = materialize(live)
     near = _same(texts, live.hint("merge"), "inner").select("t1", "t2", "leaves", "anchors", "text")
-    windows = near.mapInArrow(_find_windows(depth, prefix), "node long, t1 long, t2 long, leaves int, at int")
-    nodes = materialize(windows.groupBy("node").agg(F.sum("leaves").alias("n")).where("n > 1").select("node"))
-    hit = windows.where("leaves = 1").join(nodes.hint("merge"), "node").groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
+    windows = near.mapInArrow(_find_windows(depth, prefix), "node long, more long, t1 long, t2 long, leaves int, at int")
+    nodes = materialize(windows.groupBy("node", "more").agg(F.sum("leaves").alias("n")).where("n > 1").select("node", "more"))
+    hit = windows.where("leaves = 1").join(nodes.hint("merge"), ["node", "more"]).groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
     spans = hit.mapInArrow(_runs(depth), "t1 long, t2 long, begins array<int>, ends array<int>")
     return many, materialize(spans)
 
