@@ -99,4 +99,64 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_byte_shards": r"""
+        WITH RECURSIVE crc(v, i, c) AS (  -- the byte table of crc32
+            SELECT v, 0, v FROM range(256) t(v)
+            UNION ALL
+            SELECT v, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE i < 8
+        ),
+        lookup AS MATERIALIZED (SELECT list(c ORDER BY v) AS t FROM crc WHERE i = 8),
+        raw AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+                list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b
+            FROM documents
+        ),
+        rows AS (
+            SELECT doc_id, size,
+                xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32
+            FROM raw, lookup
+        ),
+        line AS (
+            SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS whole FROM rows
+        ),
+        cut AS (SELECT *, (((2 * upto - size) * 8) // (2 * whole))::INTEGER AS shard FROM line)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+            row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard
+        FROM cut
+    """,
+    "op9_quality_rules": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+            FROM documents
+        ),
+        places AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM texts),
+        threes AS (
+            SELECT doc_id, i, a, lead(a, 1) OVER in_order AS b, lead(a, 2) OVER in_order AS c
+            FROM places WINDOW in_order AS (PARTITION BY doc_id ORDER BY i)
+        ),
+        hits AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AS hit FROM threes),
+        covers AS (
+            SELECT doc_id, hit OR lag(hit, 1, false) OVER in_order OR lag(hit, 2, false) OVER in_order AS covered
+            FROM hits WINDOW in_order AS (PARTITION BY doc_id ORDER BY i)
+        ),
+        repeats AS (SELECT doc_id, count(*) FILTER (covered) AS n FROM covers GROUP BY doc_id),
+        counts AS (
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
+            FROM texts LEFT JOIN repeats USING (doc_id)
+        ),
+        judged AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+                + CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 8 ELSE 0 END
+                + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
+                + CASE WHEN word_chars > 15 * n_words THEN 64 ELSE 0 END AS failed
+            FROM counts
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = 0 AS kept, n_lines, failed::BIGINT AS failed
+        FROM judged
+    """,
+}

@@ -1,6 +1,7 @@
 """The training-data operators against plain Python versions of the same rules."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postloom.llm import decontaminate, licenses, lines, neardup, pieces, ppm, quality, queries, rules, sharding, substrings
+from postloom.llm import decontaminate, licenses, lines, neardup, pieces, ppm, quality, queries, rules, sharding, substrings, tokens
 from postloom.llm.queries import VOCABULARY
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -181,6 +182,19 @@ def test_substrings(docs, every):
     assert bag(substrings.dedup_substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+def test_equal_node_hashes_of_different_windows(docs, every, monkeypatch):
+    """With a first hash of eight bits the second one tells windows apart."""
+    whole = tokens.Words.windows
+
+    def few(self, k):
+        starts, keys = whole(self, k)
+        return starts, keys & 255 if k == 35 else keys
+
+    want = bag(substrings.dedup_substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    monkeypatch.setattr(tokens.Words, "windows", few)
+    assert bag(substrings.dedup_substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -267,9 +281,9 @@ def within_one(a, b):
 
 def test_lines(spark):
     rng = random.Random(5)
-    pool = [" ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.choice((2, 4, 9, 14)))) for _ in range(12)]
+    pool = [" ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.choice((2, 3, 4, 5, 6, 7, 8, 9, 14)))) for _ in range(18)]
     rows = [(0, None), (1, ""), (2, "\n\n")]
-    for i in range(3, 40):
+    for i in range(3, 90):
         out = []
         for _ in range(rng.randint(1, 4)):
             w = rng.choice(pool).split()
@@ -287,7 +301,7 @@ def test_lines(spark):
         left, gone = [], 0
         for line in (t or "").split("\n"):
             w = line.lower().split()
-            again = len(w) >= 3 and any(w == o or (min(len(w), len(o)) >= 8 and within_one(w, o)) for o in seen)
+            again = len(w) >= 3 and any(w == o or (len(w) >= 4 and within_one(w, o)) for o in seen)
             seen.append(w)
             gone += again
             left += [] if again else [line]
@@ -300,6 +314,20 @@ def test_lines(spark):
     assert {r.doc_id for r in kept.collect()} == {w[0] for w in want if w[2] == 0 or words(w[3])}
 
 
+@pytest.mark.parametrize("n", range(3, 10))
+def test_lines_one_word_longer_shorter_or_other(spark, n):
+    """An earlier line may have a word more or less, at any length and place; from four words on the later one goes."""
+    base = ["w%d" % i for i in range(n)]
+    rows = []
+    for i in range(n):
+        for j, w in enumerate((base[:i] + ["new"] + base[i:], base[:i] + ["new"] + base[i + 1 :], base[:i] + base[i + 1 :])):
+            tag = "t%dx%d" % (i, j)  # own words for every pair, so that only its two lines can meet
+            a, b = (" ".join(tag + x for x in line) for line in (base, w))
+            rows += [(len(rows), a), (len(rows) + 1, b)] if (i + j) % 2 else [(len(rows), b), (len(rows) + 1, a)]
+    got = {r.doc_id: r.n_removed for r in lines.line_report(frame(spark, rows)).collect()}
+    assert got == {d: int(d % 2 == 1 and len(t.split()) >= 4) for d, t in rows}
+
+
 def test_queries_compare_lines_of_every_length(spark, tmp_path):
     text = "Yes\nso be it then\nTwo words"
     rows = [(0, text), (1, text), (2, "two  WORDS\n\nnew"), (3, None), (4, " "), (5, " ")]
@@ -378,6 +406,55 @@ def test_licenses(spark):
         assert len(have(t) & have(w)) >= 0.75 * len(have(t))
 
 
+def brute_licenses(rows):
+    """Every window of every text against every template, by sets of word tuples."""
+    have = lambda x, k: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+    want = {}
+    for d, t in set(rows):
+        w = licenses._plain_words(t or "")
+        for name, template in licenses.TEMPLATES.items():
+            p = licenses._plain_words(template)
+            size, k = licenses._class(p)
+            for cell in range(0, len(w), size):
+                share = len(have(p, k) & have(w[cell : cell + 2 * size], k)) / len(have(p, k))
+                if share >= 0.75:
+                    best, n = want.get((d, name), (0, 0))
+                    want[d, name] = (max(best, share), n + 1)
+    return want
+
+
+def test_license_windows_equal_brute_force(spark):
+    """Whole notices, and such with lost ends and foreign words, among other words and at the ends of texts."""
+    rng = random.Random(12)
+    filler = lambda k: ["f%d" % rng.randrange(50) for _ in range(k)]
+    rows = [(0, None), (1, ""), (2, "rights")]
+    for name, template in licenses.TEMPLATES.items():
+        for _ in range(25):
+            w = licenses._plain_words(template)
+            w = w[rng.choice((0, 0, 1, 2, len(w) // 8)) : len(w) - rng.choice((0, 0, 1, len(w) // 8))]
+            if rng.random() < 0.3:
+                w[rng.choice((0, len(w) - 1, len(w) // 2))] = "other"
+            rows.append((len(rows), " ".join(filler(rng.choice((0, 3, 50, 130))) + w + filler(rng.choice((0, 5, 90))))))
+    rows += [rows[5], rows[30]]
+    got = {(r.doc_id, r.license): (r.containment, r.windows) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    want = brute_licenses(rows)
+    assert {name for _, name in want} == set(licenses.TEMPLATES)
+    assert any(share < 1 for share, _ in want.values())
+    assert got == want
+
+
+def test_bands_suffice():
+    """A class of one-shingle templates needs most; a window's chance to be missed stays below MISS."""
+    assert licenses.bands_for(8, 5, 1) == 159
+    for template in licenses.TEMPLATES.values():
+        w = licenses._plain_words(template)
+        size, k = licenses._class(w)
+        m = len(licenses._every(w, k))
+        need = next(n for n in range(m + 1) if 4 * n >= 3 * m)
+        least = need / (m + 2 * size - k + 1 - need)
+        assert (1 - least) ** licenses.bands_for(size, k, m) <= licenses.MISS
+
+
 def test_every_exact_notice_is_found(spark):
     """Short notices between many other words, at every place of a window; 300 random neighbourhoods each."""
     rng = random.Random(10)
@@ -472,3 +549,19 @@ def test_empty_tables(spark, nothing):
         substrings.dedup_substrings(nothing), quality.classify(nothing, labels), ppm.score_texts(nothing), rules.judge(nothing), pieces.encode(nothing, v),
     ):
         assert out.count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test data not there")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    names = sorted(df.columns)
+    assert sorted(con.sql(queries.ORACLE[name]).columns) == names
+    got = Counter(tuple(r) for r in df.select(*names).collect())
+    assert got == Counter(con.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLE[name]})").fetchall())
