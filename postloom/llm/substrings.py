@@ -4,7 +4,7 @@ The suffixes of all texts, as word sequences, are split by prefixes of growing l
 prefix nobody else has leaves the tree. First step: prefixes of `PREFIX` words, looked at only where
 they are the least of a window (minimisers), because two equal windows have the same least prefix at
 the same place; this drops almost all suffixes for a tenth of the rows. Second step: what is left
-grows to the full depth of `DEPTH` words. A node is named by two 64-bit hashes of its path (their polynomials run over
+grows to the full depth of `DEPTH` words. A node is named by 96 bits, two hashes of its path (their polynomials run over
 different values of the words). A node at that depth with two leaves or more is a repeated window; leaves are counted before the shuffle, so a passage that a third of all texts share is one
 row per task. Runs of repeated windows in one text are its maximal repeated stretches.
 
@@ -98,8 +98,8 @@ def _find_windows(depth, prefix):
                 of = words.text_of()[starts]
                 take = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(keys)), pa.array(signed(more)), *[cols[c].take(take) for c in ("t1", "t2", "leaves")], pa.array((starts - words.first[of]).astype(np.int32))],
-                    names=["node", "more", "t1", "t2", "leaves", "at"],
+                    [pa.array(signed(keys)), pa.array(more.astype(np.uint32).view(np.int32)), *[cols[c].take(take) for c in ("num", "leaves")], pa.array((starts - words.first[of]).astype(np.int32))],
+                    names=["node", "more", "num", "leaves", "at"],
                 )
 
     return run
@@ -111,13 +111,13 @@ def _runs(depth):
     def run(batches):
         for batch in batches:
             begins, ends = [], []
-            for x in batch.column(2):
+            for x in batch.column(1):
                 at = np.unique(np.frombuffer(x.values.buffers()[1], np.int32)[x.values.offset : x.values.offset + len(x.values)])
                 cut = np.flatnonzero(np.diff(at) > depth)
                 begins.append(at[np.concatenate([[0], cut + 1])].tolist())
                 ends.append((at[np.concatenate([cut, [len(at) - 1]])] + depth).tolist())
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(begins, ints), pa.array(ends, ints)], names=["t1", "t2", "begins", "ends"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begins, ints), pa.array(ends, ints)], names=["num", "begins", "ends"])
 
     return run
 
@@ -147,13 +147,14 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) ->
     # tables of their own: a join whose sides are both plain shuffles can have its hot keys split
     shared = materialize(anchors.groupBy("p").agg(F.sum("leaves").alias("n")).where("n > 1").select("p"))
     live = anchors.join(shared.hint("merge"), "p").groupBy("t1", "t2").agg(F.collect_list("at").alias("anchors"))
-    live = materialize(live)
-    near = _same(texts, live.hint("merge"), "inner").select("t1", "t2", "leaves", "anchors", "text")
-    windows = near.mapInArrow(_find_windows(depth, prefix), "node long, more long, t1 long, t2 long, leaves int, at int")
+    # a number for each text, as windows are many; it is fixed by being written down
+    live = materialize(live.withColumn("num", F.monotonically_increasing_id()))
+    near = _same(texts, live.hint("merge"), "inner").select("num", "leaves", "anchors", "text")
+    windows = near.mapInArrow(_find_windows(depth, prefix), "node long, more int, num long, leaves int, at int")
     nodes = materialize(windows.groupBy("node", "more").agg(F.sum("leaves").alias("n")).where("n > 1").select("node", "more"))
-    hit = windows.where("leaves = 1").join(nodes.hint("merge"), ["node", "more"]).groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
-    spans = hit.mapInArrow(_runs(depth), "t1 long, t2 long, begins array<int>, ends array<int>")
-    return many, materialize(spans)
+    hit = windows.where("leaves = 1").join(nodes.hint("merge"), ["node", "more"]).groupBy("num").agg(F.collect_list("at").alias("starts"))
+    spans = hit.mapInArrow(_runs(depth), "num long, begins array<int>, ends array<int>")
+    return many, materialize(spans.join(live.select("num", "t1", "t2"), "num").drop("num"))
 
 
 def _keep(depth):
