@@ -1,80 +1,48 @@
 """The postings table: one row per uid, merged batch by batch.
 
-Layout under `path`
-    batches/commit=X/action=insert   full rows of uids first seen in a commit
-    batches/commit=X/action=update   uid, deadline, updated_at of known uids whose deadline moved
-    log/                             one line per commit, with the version the store gave it
+Plain Parquet that is only appended to. A batch leaves the rows it changed: full rows of uids that are new, and uid,
+deadline and updated_at of known uids whose deadline moved. Each carries the writer, the batch id and the batch's
+place in the order (`version`), and the table is one grouping of them by uid.
 
-Versions are the store's own and only grow; what callers name are writers and batch ids, and these serve
-for one thing: a batch that a writer hands over again is not applied twice. So several writers may use the
-same ids, and compaction does not disturb any of them. Writers take turns; the table has no lock.
-
-A batch only adds files, so its cost follows the batch and two columns of the table, not the
-table's size. Readers see logged commits only, and list no other folder. `compact` folds everything
-before it into one commit; `drop_replaced` deletes the folders that no reader needs any more.
+Known uids are looked up in two columns, so that a batch writes only what it changed. A batch handed over again is
+classed against what stood before it and adds the rows that are not there yet: none, or those that a broken run
+could not write. Writers take turns; the table has no lock. To fold a long history, put `read()` into a new table.
 """
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators.upsert import ACTIONS, classify, one_row_per_uid
 from ..operators.stats import newest
 from ..functions.filters import table_filter
 from ..schema import POSTING
 
-LOG = "version long, commit string, writer string, batch_id long, kind string, inserted long, updated long, skipped long"
-STORED = T.StructType(
-    [T.StructField(f.name, f.dataType) for f in POSTING.fields]
-    + [T.StructField("commit", T.StringType()), T.StructField("action", T.StringType())]
-)
+ORDER = {"action": T.StringType(), "writer": T.StringType(), "batch_id": T.LongType(), "version": T.LongType()}
+STORED = T.StructType([T.StructField(f.name, f.dataType) for f in POSTING.fields] + [T.StructField(*c) for c in ORDER.items()])
+MOVED = ("deadline", "updated_at")
+
+
+def latest_move() -> Column:
+    """Deadline and its date: the greatest deadline from where it first stood; blank ones move to each other."""
+    text = F.coalesce("deadline", F.lit(""))
+    return F.max_by(F.struct(*MOVED), F.struct(text, F.when(text == "", F.col("version")).otherwise(-F.col("version"))))
 
 
 class PostingStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        spark.createDataFrame([], LOG).write.mode("ignore").parquet(f"{self.path}/log")
-
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
-
-    def _committed(self, writer: str, batch_id: int):
-        return self.log().where((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).head()
+        spark.createDataFrame([], STORED).write.mode("ignore").parquet(self.path)
 
-    def _live(self) -> dict[str, int]:
-        """Version of each commit to read: the last compacted one and all after it."""
-        log = self.log()
-        base = log.where("kind = 'compact'").agg(F.max("version").alias("v")).scalar()
-        rows = log.where(F.col("version") >= F.coalesce(base, F.lit(0))).select("commit", "version").collect()
-        return {r["commit"]: r["version"] for r in rows}
+    def changes(self) -> DataFrame:
+        """Everything that was ever appended."""
+        return self.spark.read.schema(STORED).parquet(self.path)
 
-    def _files(self) -> DataFrame | None:
-        live = self._live()
-        if not live:
-            return None
-        folders = [f"{self.path}/batches/commit={c}" for c in sorted(live, key=live.get)]
-        every = self.spark.read.schema(STORED).option("basePath", f"{self.path}/batches").parquet(*folders)
-        versions = self.spark.createDataFrame(list(live.items()), "commit string, version long")
-        return every.join(F.broadcast(versions), "commit")  # one row per commit since the last compaction
-
-    def _current(self, columns) -> DataFrame:
-        files = self._files()
-        if files is None:
-            return self.spark.createDataFrame([], POSTING).select(*columns)
-        moved = [c for c in ("deadline", "updated_at") if c in columns]
-        rows = files.where("action = 'insert'").select(*columns)
-        patch = F.max_by(F.struct(*moved), "version")
-        latest = files.where("action = 'update'").groupBy("uid").agg(patch.alias("_p"))
-        joined = rows.join(latest, "uid", "left")
-        return joined.select(
-            *[
-                F.when(F.col("_p").isNull(), F.col(c)).otherwise(F.col(f"_p.{c}")).alias(c) if c in moved else F.col(c)
-                for c in columns
-            ]
-        )
+    def _known(self, before: int) -> DataFrame:
+        return self.changes().where(F.col("version") < before).groupBy("uid").agg(latest_move()["deadline"].alias("deadline"))
 
     def read(self) -> DataFrame:
-        return self._current(POSTING.names)
+        kept = [c for c in POSTING.names if c != "uid" and c not in MOVED]
+        rows = self.changes().groupBy("uid").agg(F.min_by(F.struct(*kept), "version").alias("_row"), latest_move().alias("_moved"))
+        return rows.select("uid", "_row.*", "_moved.*").select(*POSTING.names)
 
     def query(self, limit: int | None = None, **filters) -> DataFrame:
         """Newest rows that meet the filters of `table_filter`; no limit unless asked for."""
@@ -82,50 +50,18 @@ class PostingStore:
 
     def upsert(self, batch: DataFrame, batch_id: int, writer: str = "batch") -> tuple[int, int, int]:
         """(inserted, updated, skipped). Running a writer's batch again changes nothing."""
-        done = self._committed(writer, batch_id)
-        if done is not None:
-            return done["inserted"], done["updated"], done["skipped"]
-        known = self._current(["uid", "deadline"])
+        own = (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
+        mine, last = self.changes().agg(F.max(F.when(own, F.col("version"))), F.max("version")).head()
+        version = mine or (last or 0) + 1
         tally = Observation()
-        merged = classify(known, one_row_per_uid(batch.select(*POSTING.names))).observe(
+        merged = classify(self._known(version), one_row_per_uid(batch.select(*POSTING.names))).observe(
             tally, *[F.count_if(F.col("action") == a).alias(a) for a in ACTIONS]
         )
-        changed = F.col("action") == "update"
-        slim = [
-            F.when(changed, F.lit(None)).otherwise(F.col(c)).alias(c)
-            if c not in ("uid", "deadline", "updated_at")
-            else F.col(c)
-            for c in POSTING.names
-        ]
-        commit = uuid.uuid4().hex
-        self._write(merged.where("action <> 'skip'").select(*slim, "action"), commit)
-        got = tuple(tally.get[a] for a in ACTIONS)
-        self._commit(commit, writer, batch_id, "batch", got)
-        return got
-
-    def compact(self, batch_id: int | None = None) -> None:
-        """Fold all commits so far into one. With an id, a second call under it does nothing."""
-        if batch_id is not None and self._committed("compact", batch_id) is not None:
-            return
-        commit = uuid.uuid4().hex
-        self._write(self.read().withColumn("action", F.lit("insert")), commit)
-        self._commit(commit, "compact", batch_id, "compact", (0, 0, 0))
-
-    def drop_replaced(self) -> int:
-        """Delete the folders of commits that a compaction has folded; how many went. No reader may be under way."""
-        live = self._live()
-        old = [r["commit"] for r in self.log().select("commit").collect() if r["commit"] not in live]
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        gone = 0
-        for c in old:
-            folder = jvm.Path(f"{self.path}/batches/commit={c}")
-            gone += folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        return gone
-
-    def _write(self, rows: DataFrame, commit) -> None:
-        rows.write.mode("overwrite").partitionBy("action").parquet(f"{self.path}/batches/commit={commit}")
-
-    def _commit(self, commit: str, writer: str, batch_id: int | None, kind: str, got) -> None:
-        last = self.log().agg(F.max("version")).head()[0] or 0
-        line = self.spark.createDataFrame([(last + 1, commit, writer, batch_id, kind, *got)], LOG)
-        line.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        rows = merged.where("action <> 'skip'")
+        if mine:
+            rows = rows.join(self.changes().where(own).select("uid"), "uid", "left_anti")
+        new = F.col("action") == "insert"
+        slim = [c if c in ("uid", "action", *MOVED) else F.when(new, F.col(c)).alias(c) for c in (*POSTING.names, "action")]
+        place = [F.lit(v).cast(ORDER[c]).alias(c) for c, v in (("writer", writer), ("batch_id", batch_id), ("version", version))]
+        rows.select(*slim, *place).write.mode("append").parquet(self.path)
+        return tuple(tally.get[a] for a in ACTIONS)

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -44,23 +45,46 @@ def test_store_equals_merge_and_replays_are_harmless(spark, tmp_path):
     assert store.upsert(records(spark, DAY2, *NEW), 1) == (1, 3, 2)
     assert store.upsert(records(spark, DAY2, *NEW), 1) == (1, 3, 2)
     assert deadlines(store.read()) == WANT
-    assert store.log().count() == 2
+    assert store.changes().count() == 9  # five, and one new with three moved
     # a later batch moves a deadline again
     assert store.upsert(records(spark, DAY2, {"uid": "a", "deadline": "2026-09-01"}), 2) == (0, 1, 0)
     assert deadlines(store.read())["a"][0] == "2026-09-01"
-    store.compact(3)
-    assert deadlines(store.read()) == WANT | {"a": ("2026-09-01", "old", DAY2)}
-    assert store.upsert(records(spark, DAY2, {"uid": "g"}), 4) == (1, 0, 0)
-    assert store.read().count() == 7
-
-
-def test_a_batch_that_broke_off_is_not_seen(spark, tmp_path):
-    store = PostingStore(spark, str(tmp_path / "s"))
-    store.upsert(records(spark, DAY1, *OLD), 0)
-    store._write(records(spark, DAY2, {"uid": "z"}).withColumn("action", F.lit("insert")), 1)  # no log line
-    assert "z" not in deadlines(store.read())
-    assert store.upsert(records(spark, DAY2, *NEW), 1) == (1, 3, 2)
+    folded = PostingStore(spark, str(tmp_path / "folded"))
+    assert folded.upsert(store.read(), 0) == (6, 0, 0)
+    assert deadlines(folded.read()) == deadlines(store.read()) == WANT | {"a": ("2026-09-01", "old", DAY2)}
+    assert folded.upsert(records(spark, DAY2, {"uid": "g"}), 1) == (1, 0, 0)
+    assert folded.read().count() == 7
+
+
+def test_a_batch_that_broke_off_is_completed(spark, tmp_path):
+    """Only some of a batch's files arrived; another writer came before it ran again."""
+    whole, store = PostingStore(spark, str(tmp_path / "whole")), PostingStore(spark, str(tmp_path / "s"))
+    whole.upsert(records(spark, DAY1, *OLD), 0)
+    whole.changes().where("uid < 'c'").write.mode("append").parquet(store.path)
+    assert store.upsert(records(spark, DAY2, *NEW), 0, "other") == (4, 1, 1)  # "b" stays, "c" to "f" look new
+    assert store.upsert(records(spark, DAY1, *OLD), 0) == (5, 0, 0)
+    assert store.upsert(records(spark, DAY2, *NEW), 0, "other") == (1, 3, 2)
     assert deadlines(store.read()) == WANT
+    assert store.upsert(records(spark, DAY1, *OLD), 0) == (5, 0, 0) and deadlines(store.read()) == WANT
+
+
+def test_history_in_any_order_gives_one_table(spark, tmp_path):
+    """Batches of random deadlines against the rule applied row by row."""
+    rng = random.Random(3)
+    for case in range(2):
+        store, want = PostingStore(spark, str(tmp_path / f"s{case}")), {}
+        for day in range(4):
+            rows = {u: rng.choice(["", "1", "2", "3"]) for u in rng.sample("abcdefgh", 6)}
+            at = DAY1 + dt.timedelta(days=day)
+            for u, d in rows.items():
+                old = want.get(u)
+                if old is None:
+                    want[u] = (d, f"t{day}", at)
+                elif old[0] == "" or old[0] < d:
+                    want[u] = (d, old[1], at)
+            for _ in range(2):
+                store.upsert(records(spark, at, *[{"uid": u, "deadline": d, "title": f"t{day}"} for u, d in rows.items()]), day)
+        assert deadlines(store.read()) == want
 
 
 def test_query_has_no_hidden_limit(spark, tmp_path):
@@ -118,20 +142,6 @@ def test_stream_dedup_over_several_files(spark, tmp_path, raw):
     assert spark.table("seen").count() == 15
 
 
-def test_compaction_hides_no_batch(spark, tmp_path):
-    store = PostingStore(spark, str(tmp_path / "s"))
-    store.upsert(records(spark, DAY1, *OLD), 0)
-    store.compact(10)
-    assert store.upsert(records(spark, DAY2, *NEW), 1) == (1, 3, 2)  # an id below the compaction's
-    assert deadlines(store.read()) == WANT
-    store.compact()
-    assert store.upsert(records(spark, DAY2, {"uid": "g"}), 11) == (1, 0, 0)
-    store.compact()
-    before = deadlines(store.read())
-    assert store.drop_replaced() == 5  # three batches and two compactions
-    assert deadlines(store.read()) == before and len(before) == 7
-
-
 def test_writers_may_use_the_same_ids(spark, tmp_path):
     store = PostingStore(spark, str(tmp_path / "s"))
     assert store.upsert(records(spark, DAY1, *OLD), 0, "a") == (5, 0, 0)
@@ -140,13 +150,12 @@ def test_writers_may_use_the_same_ids(spark, tmp_path):
     assert deadlines(store.read()) == WANT
 
 
-def test_two_streams_and_a_compaction_between(spark, tmp_path, raw):
+def test_two_streams_that_go_on(spark, tmp_path, raw):
     store = PostingStore(spark, str(tmp_path / "store"))
     for part in range(2):
         landed = str(tmp_path / f"landed{part}")
         raw(*[{"title": f"백엔드 {part} {i}", "company": f"co{part}{i}"} for i in range(3)]).coalesce(1).write.parquet(landed)
         streaming.ingest(streaming.landed_stream(spark, landed), store, str(tmp_path / f"state{part}"), threshold=100).awaitTermination()
-        store.compact()
         raw({"title": f"late {part}", "company": "x"}).coalesce(1).write.mode("append").parquet(landed)
         streaming.ingest(streaming.landed_stream(spark, landed), store, str(tmp_path / f"state{part}"), threshold=100).awaitTermination()
     assert store.read().count() == 8
