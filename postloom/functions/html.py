@@ -7,19 +7,25 @@ descendant, so a subtree is a slice.
 
 import sys
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .text import let, strip
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NODES = (
-    "array<struct<pos: int, last: int, parent: int, tag: string, classes: array<string>, "
-    "attrs: map<string,string>, text: string>>"
+NODE = T.StructType(
+    [T.StructField(n, T.IntegerType()) for n in ("pos", "last", "parent")]
+    + [
+        T.StructField("tag", T.StringType()), T.StructField("classes", T.ArrayType(T.StringType())),
+        T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()),
+    ]
 )
+NODE_NAMES = NODE.names
+BATCH_NODES = 20_000  # a batch of rows is handed on when it holds this many
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "template"}
 # a start tag ends an open one of these, up to the given container
@@ -35,36 +41,43 @@ CLOSES.update({tag: ({"p"}, {"div", "article", "section", "li", "dd", "td", "bod
 
 
 class _Flat(HTMLParser):
+    """`nodes`: position, last descendant, parent, tag, classes, attributes, text."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open = [], []
+        self.nodes, self.open, self.silent = [], [], 0
 
-    def _add(self, tag, attrs, text):
-        parent = self.open[-1] if self.open else 0
-        attrs = {k: v or "" for k, v in attrs}
-        self.nodes.append([len(self.nodes) + 1, 0, parent, tag, attrs.get("class", "").split(), attrs, text])
-        self.nodes[-1][1] = len(self.nodes)
+    def updatepos(self, start, end):
+        return end  # lines and columns of tags are not asked for
+
+    def _add(self, tag, classes, attrs, text):
+        pos = len(self.nodes) + 1
+        self.nodes.append([pos, pos, self.open[-1] if self.open else 0, tag, classes, attrs, text])
 
     def _close(self, depth):
         for i in self.open[depth:]:
             self.nodes[i - 1][1] = len(self.nodes)
+            self.silent -= self.nodes[i - 1][3] in SILENT
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        ends, inside = CLOSES.get(tag, ((), ()))
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.nodes[self.open[depth] - 1][3]
-            if name in ends:
-                self._close(depth)
-                break
-            if name in inside:
-                break
-        self._add(tag, attrs, None)
+        if tag in CLOSES:
+            ends, inside = CLOSES[tag]
+            for depth in range(len(self.open) - 1, -1, -1):
+                name = self.nodes[self.open[depth] - 1][3]
+                if name in ends:
+                    self._close(depth)
+                    break
+                if name in inside:
+                    break
+        self.handle_startendtag(tag, attrs)
         if tag not in VOID:
             self.open.append(len(self.nodes))
+            self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
-        self._add(tag, attrs, None)
+        attrs = {k: v or "" for k, v in attrs}
+        self._add(tag, attrs.get("class", "").split(), attrs, None)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
@@ -73,29 +86,129 @@ class _Flat(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if data and not any(self.nodes[i - 1][3] in SILENT for i in self.open):
-            self._add("#text", (), data)
+        if data and not self.silent:
+            self._add("#text", (), {}, data)
 
 
-def _flatten(page):
+def _parse(page):
     parser = _Flat()
     parser.feed(page or "")
     parser.close()
     parser._close(0)
-    names = ("pos", "last", "parent", "tag", "classes", "attrs", "text")
-    return [dict(zip(names, node)) for node in parser.nodes]
+    return parser.nodes
 
 
-def with_nodes(pages: DataFrame, html="html") -> DataFrame:
-    """Replaces the page text by `nodes`. One page at a time, no shuffle."""
+def _meets(node, tag=None, cls=None, attr=None, **has):
+    """`is_el` for one parsed node."""
+    if (node[3] not in tag.split()) if tag else (node[3] == "#text"):
+        return False
+    if (cls and cls not in node[4]) or (attr and attr not in node[5]):
+        return False
+    return all(part in node[5].get(name, "") for name, part in has.items())
+
+
+def _on_path(nodes, path):
+    """Nodes that meet the last step and lie within nodes that meet the ones before, in one pass a step.
+
+    Subtrees nest, so a node lies within an earlier one if the farthest end among these reaches it.
+    """
+    picked = [n for n in nodes if _meets(n, **path[0])]
+    for step in path[1:]:
+        held, end, holders = [], 0, iter([*picked, None])
+        h = next(holders)
+        for n in nodes:
+            if n[0] <= end and _meets(n, **step):
+                held.append(n)
+            if h is n:
+                end, h = max(end, n[1]), next(holders)
+        picked = held
+    return picked
+
+
+def _holders(nodes, node):
+    """Holders of a node, nearest first, by the way up."""
+    while node[2]:
+        node = nodes[node[2] - 1]
+        yield node
+
+
+def _below(nodes, node):
+    return nodes[node[0] : node[1]] if node else ()
+
+
+class _Runs:
+    """Runs of nodes on their way into an Arrow array of arrays."""
+
+    def __init__(self):
+        self.nodes, self.ends = [], [0]
+
+    def add(self, nodes):
+        self.nodes.extend(nodes)
+        self.ends.append(len(self.nodes))
+
+    def array(self):
+        pos, last, parent, tag, classes, attrs, text = zip(*self.nodes) if self.nodes else ((),) * 7
+        ends = lambda lists: pa.array([0, *accumulate(map(len, lists))], pa.int32())
+        flat = lambda lists: pa.array(list(chain.from_iterable(lists)), pa.string())
+        numbers = [pa.array(c, pa.int32()) for c in (pos, last, parent)]
+        names = pa.ListArray.from_arrays(ends(classes), flat(classes))
+        pairs = pa.MapArray.from_arrays(ends(attrs), flat(attrs), flat([a.values() for a in attrs]))
+        columns = [*numbers, pa.array(tag, pa.string()), names, pairs, pa.array(text, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(columns, NODE_NAMES))
+
+
+def _rows(pages: DataFrame, html: str, names, runs_of) -> DataFrame:
+    """Rows made from pages: `runs_of(nodes of a page)` yields a run of nodes for each name, as often as it likes.
+
+    Pages are parsed one by one and rows handed on as soon as they hold `BATCH_NODES`, so a worker keeps one page
+    and one batch, whatever the number and the size of the pages. No shuffle.
+    """
     kept = [f for f in pages.schema.fields if f.name != html]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"nodes {NODES}"])
+    schema = T.StructType(kept + [T.StructField(n, T.ArrayType(NODE)) for n in names])
+
+    kept = [f.name for f in kept]
+    return pages.mapInArrow(lambda batches: _parse_batches(batches, html, kept, names, runs_of), schema)
+
+
+def _parse_batches(batches, html, kept, names, runs_of):
+    def made(batch, origins, runs):
+        rest = batch.select(kept).take(pa.array(origins, pa.int64())).columns if kept else []
+        return pa.RecordBatch.from_arrays([*rest, *[r.array() for r in runs]], [*kept, *names])
+
+    for batch in batches:
+        pages, origins, runs = batch.column(html), [], [_Runs() for _ in names]
+        for i in range(batch.num_rows):
+            for row in runs_of(_parse(pages[i].as_py())):
+                origins.append(i)
+                for r, nodes in zip(runs, row):
+                    r.add(nodes)
+                if sum(r.ends[-1] for r in runs) >= BATCH_NODES:
+                    yield made(batch, origins, runs)
+                    origins, runs = [], [_Runs() for _ in names]
+        if origins:
+            yield made(batch, origins, runs)
+
+
+def with_nodes(pages: DataFrame, html="html") -> DataFrame:
+    """Replaces the page text by `nodes`, the whole page."""
+    return _rows(pages, html, ["nodes"], lambda nodes: [(nodes,)])
+
+
+def cards(pages: DataFrame, *path, html="html", item: str | None = None) -> DataFrame:
+    """One row per node on the path: `card`; `sub`, the nodes below it; `around`, its holders, nearest first.
 
-    def flatten(batches):
-        for batch in batches:
-            yield batch.drop(columns=[html]).assign(nodes=pd.Series([_flatten(h) for h in batch[html]], index=batch.index))
+    With `item`, also `within`: the nodes below the nearest holder of that tag. Nothing else of a page leaves its parser.
+    """
+
+    def runs(nodes):
+        for card in _on_path(nodes, path):
+            around = list(_holders(nodes, card))
+            own = [nodes[card[0] - 1 : card[1]], around]
+            yield own if item is None else [*own, _below(nodes, next((h for h in around if h[3] == item), None))]
 
-    return pages.mapInPandas(flatten, schema)
+    found = _rows(pages, html, ["_tree", "around"] + (["within"] if item else []), runs)
+    tree = F.col("_tree")
+    return found.withColumns({"card": F.get(tree, F.lit(0)), "sub": F.slice(tree, F.lit(2), F.size(tree))}).drop("_tree")
 
 
 # ---------------------------------------------------------------- selecting
@@ -184,31 +297,18 @@ def texts_of(nodes, picked) -> Column:
     )
 
 
-def cards(pages: DataFrame, *path, keep_page=False) -> DataFrame:
-    """One row per card: `card`, and `sub`, the nodes below it. `page` keeps the whole page."""
-    # positions count from 1, so the subtree of a node is the slice that starts right after it
-    found = F.transform(
-        select(F.col("nodes"), *path),
-        lambda c: F.struct(c.alias("card"), F.slice(F.col("nodes"), c["pos"] + 1, c["last"] - c["pos"]).alias("sub")),
-    )
-    return _explode(pages, found, keep_page)
-
-
-def _explode(pages, found, keep_page):
-    names = [c for c in pages.columns if c != "nodes"] + (["nodes"] if keep_page else [])
-    return pages.select(*names, F.explode(found).alias("_c")).select(*names, "_c.*")
-
-
 def raw_length(nodes, node) -> Column:
     """Characters of a node's text, surrounding space included."""
     pieces = F.filter(below(nodes, node), lambda n: n["tag"] == "#text")
     return F.aggregate(pieces, F.lit(0), lambda a, n: a + F.length(n["text"]))
 
 
-def ancestors(nodes, node) -> Column:
-    """Holders of a node, nearest first."""
+def holders(nodes, node, most: int) -> Column:
+    """The nearest `most` holders of a node, nearest first, by the way up. `nodes` is a whole page."""
 
-    def of(e):
-        return F.filter(nodes, lambda n: (n["pos"] < e["pos"]) & (n["last"] >= e["pos"]) & (n["tag"] != "#text"))
+    def up(found, _):
+        above = F.get(nodes, F.element_at(found, -1)["parent"] - 1)
+        return F.when(above.isNull(), found).otherwise(F.concat(found, F.array(above)))
 
-    return F.reverse(let(node, of))
+    way = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(F.get(nodes, node["pos"] - 1)), up)
+    return F.slice(way, F.lit(2), F.lit(most))

@@ -8,7 +8,7 @@ expressions over the page's nodes.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.html import (
-    ancestors, attr_of, below, cards, first, is_el, raw_length, segments, select, text_of, texts_of, with_nodes,
+    attr_of, below, cards, first, holders, is_el, raw_length, segments, select, text_of, texts_of, with_nodes,
 )
 from ..functions.text import absolute_url, contains_any, is_it_title, let, or_default, strip, text
 from ..lexicons import (
@@ -42,7 +42,7 @@ def saramin(pages: DataFrame) -> DataFrame:
     sectors = select(
         sub, {"tag": "div", "cls": "job_meta"}, {"tag": "span", "cls": "job_sector"}, {"tag": "span"}
     )
-    rows = cards(with_nodes(pages), {"tag": "div", "cls": "list_item"}).select(
+    rows = cards(pages, {"tag": "div", "cls": "list_item"}).select(
         "*", text(text_of(sub, link)).alias("t"), href_of(link).alias("href"), texts_of(sub, F.slice(sectors, 1, 3)).alias("s")
     ).where(is_it_title("t"))
     base = F.when(F.size("s") > 0, F.array_join("s", ", ")).otherwise(F.concat(F.lit("cat_"), F.col("label")))
@@ -61,7 +61,7 @@ def saramin(pages: DataFrame) -> DataFrame:
 def linkedin(pages: DataFrame) -> DataFrame:
     """The date found is the day of posting; it is kept as deadline, as the feed always did."""
     sub = F.col("sub")
-    rows = cards(with_nodes(pages), {"tag": "li"}).select(
+    rows = cards(pages, {"tag": "li"}).select(
         "*", found(sub, tag="h3", cls="base-search-card__title").alias("t")
     ).where(is_it_title("t"))
     day = first(select(sub, tag="time"))
@@ -79,7 +79,7 @@ def linkedin(pages: DataFrame) -> DataFrame:
 def naver(pages: DataFrame, terms=NAVER_TERMS) -> DataFrame:
     sub = F.col("sub")
     info = [{"tag": "dl", "cls": "card_info"}, {"tag": "dd", "cls": "info_text"}]
-    rows = cards(with_nodes(pages), {"tag": "li", "cls": "card_item"}).select(
+    rows = cards(pages, {"tag": "li", "cls": "card_item"}).select(
         "*",
         found(sub, tag="h4", cls="card_title").alias("t"),
         F.lower(F.array_join(texts_of(sub, select(sub, *info)), " ")).alias("about"),
@@ -116,7 +116,7 @@ def jobkorea(pages: DataFrame) -> DataFrame:
         return names.contains("rounded-2xl") & (names.contains("shadow") | names.contains("p-7"))
 
     def card_parts(nodes, link):
-        card = first(F.filter(F.slice(ancestors(nodes, link), 1, 8), is_card))
+        card = first(F.filter(holders(nodes, link, 8), is_card))
         return F.coalesce(segments(below(nodes, card)), F.array().cast("array<string>"))
 
     def posting(nodes, own):
@@ -161,7 +161,7 @@ def jobkorea(pages: DataFrame) -> DataFrame:
 
 
 def jobplanet(pages: DataFrame) -> DataFrame:
-    rows = cards(with_nodes(pages), {"tag": "a", "href": "posting_ids"}).select("*", segments(F.col("sub")).alias("parts"))
+    rows = cards(pages, {"tag": "a", "href": "posting_ids"}).select("*", segments(F.col("sub")).alias("parts"))
     rows = rows.where(F.size("parts") > 0)
     alone = F.size("parts") == 1
     title = F.when(alone, F.get("parts", F.lit(0))).otherwise(F.get("parts", F.lit(1)))
@@ -178,32 +178,15 @@ def jobplanet(pages: DataFrame) -> DataFrame:
     )
 
 
-def _card_structs(pages: DataFrame, step: dict, link) -> DataFrame:
-    """Cards with `sub`, and `href` of the link that `link(nodes, card)` finds on the whole page."""
-    page = with_nodes(pages)
-
-    def one(c):
-        sub = F.slice(F.col("nodes"), c["pos"] + 1, c["last"] - c["pos"])
-        return F.struct(sub.alias("sub"), href_of(link(F.col("nodes"), c)).alias("href"))
-
-    return page.select(
-        *[c for c in page.columns if c != "nodes"], F.explode(F.transform(select(F.col("nodes"), step), one)).alias("_c")
-    ).select("*", "_c.*")
-
-
-def holder(nodes, node, tag) -> Column:
-    return first(F.filter(ancestors(nodes, node), lambda n: n["tag"] == tag))
-
-
-def link_near(nodes, card, mark) -> Column:
-    """The card's own list item's job link, or else the link around the card."""
-    item = holder(nodes, card, "li")
-    inside = first(F.filter(below(nodes, item), lambda n: is_el(n, tag="a", href=mark)))
-    return F.coalesce(inside, holder(nodes, card, "a"))
+def holder(tag: str) -> Column:
+    """The nearest holder of a card with this tag."""
+    return first(F.filter("around", lambda n: n["tag"] == tag))
 
 
 def kakao(pages: DataFrame) -> DataFrame:
-    rows = _card_structs(pages, {"tag": "div", "cls": "area_info"}, lambda n, c: link_near(n, c, "/jobs/"))
+    """The card's own list item's job link counts, or else the link around the card."""
+    inside = first(F.filter("within", lambda n: is_el(n, tag="a", href="/jobs/")))
+    rows = cards(pages, {"tag": "div", "cls": "area_info"}, item="li").withColumn("href", href_of(F.coalesce(inside, holder("a"))))
     sub = F.col("sub")
     rows = rows.select("*", found(sub, tag="h3 h4", cls="tit_jobs").alias("t")).where("t <> ''")
     facts = texts_of(sub, select(sub, {"tag": "dl", "cls": "list_info"}, {"tag": "dd"}))
@@ -219,11 +202,8 @@ def kakao(pages: DataFrame) -> DataFrame:
 
 
 def toss(pages: DataFrame, terms=TOSS_TERMS, card_class="css-1lnizc9") -> DataFrame:
-    def link(nodes, c):
-        own = first(F.filter(below(nodes, c), lambda n: is_el(n, tag="a", attr="href")))
-        return F.coalesce(holder(nodes, c, "a"), own)
-
-    rows = _card_structs(pages, {"tag": "li", "cls": card_class}, link)
+    own = first(F.filter("sub", lambda n: is_el(n, tag="a", attr="href")))
+    rows = cards(pages, {"tag": "li", "cls": card_class}).withColumn("href", href_of(F.coalesce(holder("a"), own)))
     sub = F.col("sub")
     rows = rows.select(
         "*",
@@ -244,11 +224,8 @@ def toss(pages: DataFrame, terms=TOSS_TERMS, card_class="css-1lnizc9") -> DataFr
 
 
 def rallit(pages: DataFrame) -> DataFrame:
-    def link(nodes, c):
-        own = first(F.filter(below(nodes, c), lambda n: is_el(n, tag="a", href="/positions/")))
-        return F.coalesce(own, holder(nodes, c, "a"))
-
-    rows = _card_structs(pages, {"tag": "article"}, link)
+    own = first(F.filter("sub", lambda n: is_el(n, tag="a", href="/positions/")))
+    rows = cards(pages, {"tag": "article"}).withColumn("href", href_of(F.coalesce(own, holder("a"))))
     sub = F.col("sub")
     heading = first(select(sub, tag="h2 h3 h4"))
     # the longest paragraph, the earlier one among equals

@@ -1,7 +1,10 @@
 import json
+import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from postloom.functions import html as pages_of
 from postloom.sources import feeds, html_feeds, json_feeds
 
 
@@ -182,3 +185,54 @@ def test_reads_and_rejects_are_all_that_landed(spark):
     for feed in json_feeds.SHAPES:
         assert json_feeds.rejects(landed.where("page = 1"), feed).count() == 1
         assert json_feeds.rejects(landed.limit(0), feed).count() == 0
+
+
+def random_page(rng, tags=120):
+    out = []
+    for _ in range(tags):
+        tag, cls = rng.choice("div ul li a span p br dl dt dd".split()), rng.choice(["", "x", "x y", "card"])
+        out.append(rng.choice([f'<{tag} class="{cls}" href="/jobs/{rng.randint(1, 9)}">', f"</{tag}>", f"<{tag}>", "word &amp; more", "<!-- no -->"]))
+    return "".join(out)
+
+
+def test_cards_from_the_parser_equal_those_from_whole_pages(spark):
+    """Cards, holders and the nearest item against their definitions over all nodes of a page."""
+    rng = random.Random(11)
+    pages = spark.createDataFrame([(i, random_page(rng)) for i in range(150)] + [(998, ""), (999, None)], "page int, html string").coalesce(2)
+    path = [{"tag": "div li", "cls": "x"}, {"tag": "a", "href": "/jobs/"}]
+    whole = {r.page: [n.asDict() for n in r.nodes] for r in pages_of.with_nodes(pages).collect()}
+    assert sorted(whole) == [*range(150), 998, 999] and whole[998] == whole[999] == []
+    want = []
+    for page_no, nodes in whole.items():
+        outer = [n for n in nodes if n["tag"] in ("div", "li") and "x" in n["classes"]]
+        for n in nodes:
+            if n["tag"] == "a" and "/jobs/" in n["attrs"].get("href", "") and any(o["pos"] < n["pos"] <= o["last"] for o in outer):
+                around = [o for o in reversed(nodes) if o["pos"] < n["pos"] <= o["last"]]
+                item = next((o for o in around if o["tag"] == "li"), None)
+                within = [m["pos"] for m in nodes if item and item["pos"] < m["pos"] <= item["last"]]
+                want.append((page_no, n["pos"], [m["pos"] for m in nodes if n["pos"] < m["pos"] <= n["last"]], [o["pos"] for o in around], within))
+    for most in (5, 20_000):  # many small batches, and one
+        saved, pages_of.BATCH_NODES = pages_of.BATCH_NODES, most
+        try:
+            got = pages_of.cards(pages, *path, item="li").selectExpr(
+                "page", "card.pos AS pos", "transform(sub, n -> n.pos) AS sub", "transform(around, n -> n.pos) AS around", "transform(within, n -> n.pos) AS within"
+            ).collect()
+        finally:
+            pages_of.BATCH_NODES = saved
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
+    rows = pages_of.with_nodes(pages).select("page", F.explode(F.transform(pages_of.select(F.col("nodes"), *path), lambda n: F.struct(n["pos"].alias("pos"), F.transform(pages_of.holders(F.col("nodes"), n, 3), lambda h: h["pos"]).alias("h")))).alias("c"))
+    assert sorted((r.page, r.c.pos, r.c.h) for r in rows.collect()) == sorted((w[0], w[1], w[3][:3]) for w in want)
+
+
+def test_pages_leave_the_parser_in_bounded_batches():
+    """One batch of 300 pages: each batch handed on holds a bound of nodes and one page's more, and none is lost."""
+    card = '<div class="list_item"><a href="/x">title</a><p>' + "text " * 20 + "</p></div><p>" + "around " * 10 + "</p>"
+    page_text = card * (20_000 // len(card))
+    per_page = len(pages_of._parse(page_text))
+    given = pa.record_batch({"id": list(range(300)), "html": [page_text] * 300})
+    seen, sizes = [], []
+    for out in pages_of._parse_batches(iter([given]), "html", ["id"], ["nodes"], lambda nodes: [(nodes,)]):
+        seen += out.column("id").to_pylist()
+        sizes.append(len(out.column("nodes").flatten()))
+    assert seen == list(range(300)) and sum(sizes) == 300 * per_page
+    assert max(sizes) < pages_of.BATCH_NODES + per_page and len(sizes) > 5
