@@ -203,12 +203,11 @@ def cards(pages: DataFrame, *path, html="html", item: str | None = None) -> Data
     def runs(nodes):
         for card in _on_path(nodes, path):
             around = list(_holders(nodes, card))
-            own = [nodes[card[0] - 1 : card[1]], around]
+            own = [[card], _below(nodes, card), around]
             yield own if item is None else [*own, _below(nodes, next((h for h in around if h[3] == item), None))]
 
-    found = _rows(pages, html, ["_tree", "around"] + (["within"] if item else []), runs)
-    tree = F.col("_tree")
-    return found.withColumns({"card": F.get(tree, F.lit(0)), "sub": F.slice(tree, F.lit(2), F.size(tree))}).drop("_tree")
+    found = _rows(pages, html, ["card", "sub", "around"] + (["within"] if item else []), runs)
+    return found.withColumn("card", first(F.col("card")))
 
 
 # ---------------------------------------------------------------- selecting
