@@ -5,7 +5,9 @@ column expression over it. A node knows its position (from 1) and the position o
 descendant, so a subtree is a slice.
 """
 
+import re
 import sys
+from html import unescape
 from html.parser import HTMLParser
 from itertools import accumulate, chain
 
@@ -39,6 +41,16 @@ BLOCKS = (
 )
 CLOSES.update({tag: ({"p"}, {"div", "article", "section", "li", "dd", "td", "body"}) for tag in BLOCKS.split()})
 
+ATTRIBUTE = r"""[ \n]+([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:="([^"]*)"|='([^']*)')?"""
+ATTRIBUTES = re.compile(ATTRIBUTE)
+REMEMBERED = 4_096  # attribute texts that a task remembers
+NONE = ((), {})  # classes and attributes of a node without any
+# a mark with the text behind it: end tag, or start tag, attributes and slash, or comment or type of document; or what is none
+MARK = re.compile(
+    r"<(?:/([a-zA-Z][-a-zA-Z0-9]*)|([a-zA-Z][-a-zA-Z0-9]*)((?:" + re.sub(r"\((?!\?)", "(?:", ATTRIBUTE) + r")*)[ \n]*(/?)"
+    r"|!--(?:[^->]|-(?![->]))*--|![dD][oO][cC][tT][yY][pP][eE][^<>\[]*)>([^<]*)|(<)"
+)
+
 
 class _Flat(HTMLParser):
     """`nodes`: position, last descendant, parent, tag, classes, attributes, text."""
@@ -90,7 +102,89 @@ class _Flat(HTMLParser):
             self._add("#text", (), {}, data)
 
 
-def _parse(page):
+def _attributes(text, known):
+    """Classes and attributes; never changed, so that nodes may share them. `known` remembers some."""
+    if (found := known.get(text)) is None:
+        attrs = {}
+        for name, double, single in ATTRIBUTES.findall(text):
+            value = double or single
+            attrs[name.lower()] = unescape(value) if "&" in value else value
+        if len(known) >= REMEMBERED:
+            known.clear()
+        found = known[text] = attrs.get("class", "").split(), attrs
+    return found
+
+
+def _plain(page, known):
+    """`_Flat` for pages of plain marks, several times as fast; None for all others.
+
+    Only marks are taken that HTMLParser reads the same way: quoted attribute values, no script with a `<`.
+    """
+    start = page.find("<")
+    nodes, up, names, silent, raw = [], [], [], 0, None
+
+    def close(depth):
+        nonlocal silent
+        last = len(nodes)
+        for i in up[depth:]:
+            nodes[i - 1][1] = last
+            silent -= nodes[i - 1][3] in SILENT
+        del up[depth:], names[depth:]
+
+    def add_text(text):
+        pos = len(nodes) + 1
+        nodes.append([pos, pos, up[-1] if up else 0, "#text", *NONE, unescape(text) if "&" in text else text])
+
+    if start:
+        before = page if start < 0 else page[:start]
+        if before:
+            add_text(before)
+        if start < 0:
+            return nodes
+    for end, tag, attributes, slash, text, other in MARK.findall(page, start):
+        if other or (raw and end.lower() != raw):
+            return None
+        raw = None
+        if tag:
+            tag = tag.lower()
+            if tag in CLOSES and not slash:
+                ends, inside = CLOSES[tag]
+                for depth in range(len(names) - 1, -1, -1):
+                    if names[depth] in ends:
+                        close(depth)
+                        break
+                    if names[depth] in inside:
+                        break
+            classes, attrs = _attributes(attributes, known) if attributes else NONE
+            pos = len(nodes) + 1
+            nodes.append([pos, pos, up[-1] if up else 0, tag, classes, attrs, None])
+            if not slash:
+                if tag not in VOID:
+                    up.append(pos)
+                    names.append(tag)
+                    silent += tag in SILENT
+                if tag in HTMLParser.CDATA_CONTENT_ELEMENTS:
+                    raw = tag
+        elif end:
+            end = end.lower()
+            for depth in range(len(names) - 1, -1, -1):
+                if names[depth] == end:
+                    close(depth)
+                    break
+        if text and not silent:
+            add_text(text)
+    if raw:
+        return None
+    close(0)
+    return nodes
+
+
+def _parse(page, known=None):
+    nodes = _plain(page or "", {} if known is None else known)
+    return _flat(page) if nodes is None else nodes
+
+
+def _flat(page):
     parser = _Flat()
     parser.feed(page or "")
     parser.close()
@@ -175,10 +269,11 @@ def _parse_batches(batches, html, kept, names, runs_of):
         rest = batch.select(kept).take(pa.array(origins, pa.int64())).columns if kept else []
         return pa.RecordBatch.from_arrays([*rest, *[r.array() for r in runs]], [*kept, *names])
 
+    known = {}
     for batch in batches:
         pages, origins, runs = batch.column(html), [], [_Runs() for _ in names]
         for i in range(batch.num_rows):
-            for row in runs_of(_parse(pages[i].as_py())):
+            for row in runs_of(_parse(pages[i].as_py(), known)):
                 origins.append(i)
                 for r, nodes in zip(runs, row):
                     r.add(nodes)
@@ -194,20 +289,28 @@ def with_nodes(pages: DataFrame, html="html") -> DataFrame:
     return _rows(pages, html, ["nodes"], lambda nodes: [(nodes,)])
 
 
-def cards(pages: DataFrame, *path, html="html", item: str | None = None) -> DataFrame:
-    """One row per node on the path: `card`; `sub`, the nodes below it; `around`, its holders, nearest first.
+def cards(pages: DataFrame, *path, html="html", item: str | None = None, around=True) -> DataFrame:
+    """One row per node on the path: `card`; `sub`, the nodes below it; `around`, if asked for, its holders, nearest first.
 
     With `item`, also `within`: the nodes below the nearest holder of that tag. Nothing else of a page leaves its parser.
     """
+    names = ["card", "sub"] + (["around"] if around else []) + (["within"] if item else [])
 
     def runs(nodes):
         for card in _on_path(nodes, path):
-            around = list(_holders(nodes, card))
-            own = [[card], _below(nodes, card), around]
-            yield own if item is None else [*own, _below(nodes, next((h for h in around if h[3] == item), None))]
+            own = [[card], _below(nodes, card)]
+            if around:
+                own.append(list(_holders(nodes, card)))
+            if item:
+                own.append(_below(nodes, next((h for h in _holders(nodes, card) if h[3] == item), None)))
+            yield own
+
+    return _rows(pages, html, names, runs).withColumn("card", first(F.col("card")))
+
 
-    found = _rows(pages, html, ["card", "sub", "around"] + (["within"] if item else []), runs)
-    return found.withColumn("card", first(F.col("card")))
+def once(df: DataFrame, **columns) -> DataFrame:
+    """`df` with columns that are computed once a row: behind a generator, a filter on them does not compute them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 # ---------------------------------------------------------------- selecting

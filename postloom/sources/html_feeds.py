@@ -8,7 +8,7 @@ expressions over the page's nodes.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.html import (
-    attr_of, below, cards, first, holders, is_el, raw_length, segments, select, text_of, texts_of, with_nodes,
+    attr_of, below, cards, first, holders, is_el, once, raw_length, segments, select, text_of, texts_of, with_nodes,
 )
 from ..functions.text import absolute_url, contains_any, is_it_title, let, or_default, strip, text
 from ..lexicons import (
@@ -42,8 +42,9 @@ def saramin(pages: DataFrame) -> DataFrame:
     sectors = select(
         sub, {"tag": "div", "cls": "job_meta"}, {"tag": "span", "cls": "job_sector"}, {"tag": "span"}
     )
-    rows = cards(pages, {"tag": "div", "cls": "list_item"}).select(
-        "*", text(text_of(sub, link)).alias("t"), href_of(link).alias("href"), texts_of(sub, F.slice(sectors, 1, 3)).alias("s")
+    rows = once(
+        cards(pages, {"tag": "div", "cls": "list_item"}, around=False),
+        t=text(text_of(sub, link)), href=href_of(link), s=texts_of(sub, F.slice(sectors, 1, 3)),
     ).where(is_it_title("t"))
     base = F.when(F.size("s") > 0, F.array_join("s", ", ")).otherwise(F.concat(F.lit("cat_"), F.col("label")))
     return raw_posting(
@@ -61,8 +62,8 @@ def saramin(pages: DataFrame) -> DataFrame:
 def linkedin(pages: DataFrame) -> DataFrame:
     """The date found is the day of posting; it is kept as deadline, as the feed always did."""
     sub = F.col("sub")
-    rows = cards(pages, {"tag": "li"}).select(
-        "*", found(sub, tag="h3", cls="base-search-card__title").alias("t")
+    rows = once(
+        cards(pages, {"tag": "li"}, around=False), t=found(sub, tag="h3", cls="base-search-card__title")
     ).where(is_it_title("t"))
     day = first(select(sub, tag="time"))
     return raw_posting(
@@ -79,12 +80,12 @@ def linkedin(pages: DataFrame) -> DataFrame:
 def naver(pages: DataFrame, terms=NAVER_TERMS) -> DataFrame:
     sub = F.col("sub")
     info = [{"tag": "dl", "cls": "card_info"}, {"tag": "dd", "cls": "info_text"}]
-    rows = cards(pages, {"tag": "li", "cls": "card_item"}).select(
-        "*",
-        found(sub, tag="h4", cls="card_title").alias("t"),
-        F.lower(F.array_join(texts_of(sub, select(sub, *info)), " ")).alias("about"),
-        below(sub, first(select(sub, tag="dl", cls="card_info"))).alias("dl"),
-        text(attr_of(first(select(sub, tag="a", cls="card_link")), "onclick")).alias("onclick"),
+    rows = once(
+        cards(pages, {"tag": "li", "cls": "card_item"}, around=False),
+        t=found(sub, tag="h4", cls="card_title"),
+        about=F.lower(F.array_join(texts_of(sub, select(sub, *info)), " ")),
+        dl=below(sub, first(select(sub, tag="dl", cls="card_info"))),
+        onclick=text(attr_of(first(select(sub, tag="a", cls="card_link")), "onclick")),
     )
     rows = rows.where((F.col("t") != "") & (contains_any(F.lower("t"), terms) | contains_any("about", terms)))
     dl = F.coalesce("dl", F.array().cast(rows.schema["sub"].dataType))
@@ -161,7 +162,7 @@ def jobkorea(pages: DataFrame) -> DataFrame:
 
 
 def jobplanet(pages: DataFrame) -> DataFrame:
-    rows = cards(pages, {"tag": "a", "href": "posting_ids"}).select("*", segments(F.col("sub")).alias("parts"))
+    rows = once(cards(pages, {"tag": "a", "href": "posting_ids"}, around=False), parts=segments(F.col("sub")))
     rows = rows.where(F.size("parts") > 0)
     alone = F.size("parts") == 1
     title = F.when(alone, F.get("parts", F.lit(0))).otherwise(F.get("parts", F.lit(1)))
@@ -188,7 +189,7 @@ def kakao(pages: DataFrame) -> DataFrame:
     inside = first(F.filter("within", lambda n: is_el(n, tag="a", href="/jobs/")))
     rows = cards(pages, {"tag": "div", "cls": "area_info"}, item="li").withColumn("href", href_of(F.coalesce(inside, holder("a"))))
     sub = F.col("sub")
-    rows = rows.select("*", found(sub, tag="h3 h4", cls="tit_jobs").alias("t")).where("t <> ''")
+    rows = once(rows, t=found(sub, tag="h3 h4", cls="tit_jobs")).where("t <> ''")
     facts = texts_of(sub, select(sub, {"tag": "dl", "cls": "list_info"}, {"tag": "dd"}))
     firm = texts_of(sub, select(sub, {"tag": "dl", "cls": "item_subinfo"}, {"tag": "dd"}))
     return raw_posting(
@@ -205,11 +206,11 @@ def toss(pages: DataFrame, terms=TOSS_TERMS, card_class="css-1lnizc9") -> DataFr
     own = first(F.filter("sub", lambda n: is_el(n, tag="a", attr="href")))
     rows = cards(pages, {"tag": "li", "cls": card_class}).withColumn("href", href_of(F.coalesce(holder("a"), own)))
     sub = F.col("sub")
-    rows = rows.select(
-        "*",
-        found(sub, tag="p", attr="data-desktop-list-item-title").alias("t"),
-        F.array_join(texts_of(sub, select(sub, tag="span")), " ").alias("spans"),
-        segments(sub).alias("parts"),
+    rows = once(
+        rows,
+        t=found(sub, tag="p", attr="data-desktop-list-item-title"),
+        spans=F.array_join(texts_of(sub, select(sub, tag="span")), " "),
+        parts=segments(sub),
     ).where("t <> ''")
     rows = rows.where(contains_any(F.lower(F.concat_ws(" ", "t", "spans")), terms))
     inner = F.slice(F.col("parts"), F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0)))
@@ -237,7 +238,7 @@ def rallit(pages: DataFrame) -> DataFrame:
     )
     longest = F.substring(first(by_length)["t"], 1, 80)
     title = text(F.when(heading.isNotNull(), text_of(sub, heading)).otherwise(longest))
-    rows = rows.select("*", title.alias("t"), texts_of(sub, select(sub, tag="span p")).alias("names")).where(F.length("t") >= 3)
+    rows = once(rows, t=title, names=texts_of(sub, select(sub, tag="span p"))).where(F.length("t") >= 3)
     firm = first(F.filter("names", lambda n: (n != F.col("t")) & (F.length(n) > 1) & (F.length(n) < 40)))
     return raw_posting(
         rows, "랠릿",

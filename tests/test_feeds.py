@@ -236,3 +236,21 @@ def test_pages_leave_the_parser_in_bounded_batches():
         sizes.append(len(out.column("nodes").flatten()))
     assert seen == list(range(300)) and sum(sizes) == 300 * per_page
     assert max(sizes) < pages_of.BATCH_NODES + per_page and len(sizes) > 5
+
+
+def test_plain_pages_are_read_as_the_full_parser_reads_them():
+    rng = random.Random(11)
+    marks = [
+        "<div>", '<div class="a b">', "</div>", "<p>", "</p>", "<li>", "</LI>", "<ul>", "</ul>", "<dd>", "<dt>", "<dl>", "</dl>", "<BR>", "<br/>", "<p/>",
+        '<a href="/x?a=1&amp;b=2" class="">', "</a>", "<a href='q\"r>' title>", '<img src="i>.png" />', "text", " a &lt; b ", "&amp", "&", "<!-- note -->",
+        "<!doctype html>", "<script>x && y</script>", "<style>", "</style>", "<template>", "</template>", "\n", '<a X="1" x="2\n3">', '<b a="&#x41;" b>',
+    ]
+    odd = ["<", "<a b=c>", "<a  =x>", "<!--->", "<!-- a -- b -->", "</a b>", "<script>if (a<b)</script>", "</ a>", "<?pi?>", '<a b="c"d="e">', "<a\tb>", "<x", "</>", '<a b="']
+    quick, known = 0, {}
+    for i in range(3000):
+        page = "".join(rng.choices(marks + odd if i % 3 == 0 else marks, k=rng.randrange(12)))
+        got = pages_of._plain(page, known)
+        want = pages_of._flat(page)
+        quick += got is not None
+        assert got is None or [[*n[:4], list(n[4]), *n[5:]] for n in got] == [[*n[:4], list(n[4]), *n[5:]] for n in want], page
+    assert quick > 1500

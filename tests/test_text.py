@@ -147,3 +147,12 @@ def test_facets_come_from_one_scan(spark, tmp_path):
     assert sum(n for (f, _), (n, _) in got.items() if f == "location") == 3
     assert board._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert stats.facet_board(df.limit(0)).count() == 0
+
+
+def test_strip_takes_what_the_unicode_pattern_takes(spark):
+    chars = [chr(c) for c in range(1, 0x3100)] + ["﻿", "\U0001f600", "가"]
+    rows = [(p + "a b" + q,) for c in chars for p, q in ((c, c), (c + " ", "\n" + c))] + [(c * 2,) for c in chars] + [("",), (None,)]
+    df = spark.createDataFrame(rows, "s string")
+    by_pattern = F.regexp_replace("s", r"(?U)^\s+|\s+$", "")
+    assert df.where(~by_pattern.eqNullSafe(tx.strip("s"))).count() == 0
+    assert df.select(tx.strip("s").alias("x")).where("x = ''").count() > 20
