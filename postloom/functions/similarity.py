@@ -2,7 +2,9 @@
 
 import sys
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
@@ -13,6 +15,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 CHUNK_BITS = 16_384
+SLOTS = 32  # characters are counted by code point modulo this
+MOST = 16_000  # what a count is cut to: differences only shrink
+HELD_CHARACTERS = 1_000_000  # keys whose characters' places a task remembers
+TILE = 8_192  # keys that one key is held against at once
 
 
 def _places(a: str) -> dict[str, int]:
@@ -88,3 +94,79 @@ def reaches(a, b, threshold: int) -> Column:
     """Similarity >= threshold, in whole numbers."""
     total = F.length(col(a)) + F.length(col(b))
     return 200 * lcs_length(col(a), col(b)) >= threshold * total
+
+
+def _bags(keys) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and per key how often its characters occur, by slot."""
+    sizes = np.array([len(k) for k in keys], np.int64)
+    codes = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32) % SLOTS
+    of = np.repeat(np.arange(len(keys)) * SLOTS, sizes) + codes
+    counts = np.bincount(of, minlength=len(keys) * SLOTS).reshape(len(keys), SLOTS)
+    return sizes, np.minimum(counts, MOST).astype(np.int16)
+
+
+def by_length(ranks, keys):
+    """Ranks, keys and lengths, shortest first, and the bags by slot."""
+    sizes, bags = _bags(keys)
+    order = np.argsort(sizes, kind="stable")
+    return np.asarray(ranks, np.int64)[order], [keys[i] for i in order], sizes[order], np.ascontiguousarray(bags[order].T)
+
+
+def near_pairs(batches, left, threshold: int, ordered: bool, single: bool, names):
+    """(a, b, ka, kb) or with `single` (b): rows of (rank, key) next to those of `left` (`by_length`) that match them.
+
+    Each key is held against all of `left` of a length that fits, by their bags: an insertion or deletion moves
+    one count by one. What is left is compared at once, so that no pair that does not match leaves the task. With
+    `single` the first match of a key is enough.
+    """
+    ranks, keys, sizes, bags = left
+    low, high, spare = threshold, 200 - threshold, 100 - threshold
+    places, held = {}, 0
+    for batch in batches:
+        found = ([], [])
+        own_ranks, own_keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        own_sizes, own_bags = _bags(own_keys)
+        begins = np.searchsorted(sizes, -(-low * own_sizes // high), "left")
+        ends = np.searchsorted(sizes, high * own_sizes // low, "right")
+        for i, (rank, key) in enumerate(zip(own_ranks, own_keys)):
+            near, gaps = [], []
+            for begin in range(begins[i], ends[i], TILE):
+                some = slice(begin, min(begin + TILE, ends[i]))
+                gap = np.zeros(some.stop - begin, np.int32)
+                for slot in range(SLOTS):
+                    gap += np.abs(bags[slot, some] - own_bags[i, slot])
+                fit = 100 * gap <= spare * (sizes[some] + own_sizes[i])
+                if ordered:
+                    fit &= ranks[some] < rank
+                at = np.flatnonzero(fit)
+                near.append(at + begin)
+                gaps.append(gap[at])
+            near = np.concatenate(near) if near else ()
+            if not len(near):
+                continue
+            if single:  # the closest first
+                near = near[np.argsort(np.concatenate(gaps), kind="stable")]
+            chunk, bits = [], 0
+            for j in [*near.tolist(), None]:
+                if chunk and (j is None or bits + sizes[j] > CHUNK_BITS or (single and len(chunk) >= 8)):
+                    held += sum(len(keys[c]) for c in chunk if keys[c] not in places)
+                    lengths = _lcs_chunk(key, [keys[c] for c in chunk], places)
+                    hits = [c for c, n in zip(chunk, lengths) if 200 * n >= threshold * (len(keys[c]) + len(key))]
+                    found[0].extend(hits[:1] if single else hits)
+                    found[1].extend([i] * (len(hits[:1]) if single else len(hits)))
+                    if held > HELD_CHARACTERS:
+                        places, held = {}, 0
+                    if single and hits:
+                        break
+                    chunk, bits = [], 0
+                if j is not None:
+                    chunk.append(j)
+                    bits += sizes[j] + 1
+        a, b = found
+        columns = [pa.array([own_ranks[i] for i in b], pa.int64())]
+        if not single:
+            columns = [
+                pa.array(ranks[a] if a else [], pa.int64()), *columns,
+                pa.array([keys[j] for j in a], pa.string()), pa.array([own_keys[i] for i in b], pa.string()),
+            ]
+        yield pa.RecordBatch.from_arrays(columns, names)

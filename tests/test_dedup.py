@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from postloom.functions.similarity import _lcs_pairs
 from postloom.operators import dedup, fuzzy, refine
@@ -108,6 +109,33 @@ def test_similarity_join_misses_nothing(spark, threshold):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [90, 50, 100])
+def test_similarity_sweep_misses_nothing(spark, threshold, monkeypatch):
+    rng = random.Random(threshold)
+    keys = near_copies(rng, 120, "abcdef가나", 40)
+    sig = fuzzy.Signature(threshold)
+    df = spark.createDataFrame(list(enumerate(keys)), "rank long, key string")
+    want = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if alike(keys[i], keys[j], threshold)}
+    for most in (fuzzy.ROUND_BYTES, 4_000):  # also in several rounds
+        monkeypatch.setattr(fuzzy, "ROUND_BYTES", most)
+        assert {(r.a, r.b) for r in sig.matches(df, df, ordered=True).collect()} == want
+        assert {r["rank"] for r in sig.removed(df, df).collect()} == {j for _, j in want}
+
+
+def test_running_text_is_not_joined_by_its_grams(spark):
+    """Lines of a few common words share grams with all others: pairs that do not match must not reach a shuffle."""
+    rng = random.Random(8)
+    words = ["the", "then", "there", "and", "hand", "stand", "with", "width"]
+    keys = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(20, 40))) for _ in range(80)})
+    sig = fuzzy.Signature(90)
+    df = spark.createDataFrame(list(enumerate(keys)), "rank long, key string")
+    assert not sig.grams_tell_apart(df)
+    plan = sig.matches(df, df, ordered=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    rare = spark.range(2_000).select(F.col("id").alias("rank"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 24).alias("key"))
+    assert sig.grams_tell_apart(rare)
+
+
 def greedy(rows, threshold):
     """rows: (uid, company, title, deadline), one per uid."""
     kept = []
