@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, work_path
 from .joins import counted
 from .tokens import mix, rolling, signed, slabs
 
@@ -150,7 +150,11 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) ->
     # a number for each text, as windows are many; it is fixed by being written down
     live = materialize(live.withColumn("num", F.monotonically_increasing_id()))
     near = _same(texts, live.hint("merge"), "inner").select("num", "leaves", "anchors", "text")
-    windows = near.mapInArrow(_find_windows(depth, prefix), "node long, more int, num long, leaves int, at int")
+    # written once, as they weigh less than the texts, which would move again for a second reading
+    path = work_path(docs.sparkSession, "windows")
+    kinds = "node long, more int, num long, leaves int, at int"
+    near.mapInArrow(_find_windows(depth, prefix), kinds).write.parquet(path)
+    windows = docs.sparkSession.read.schema(kinds).parquet(path)
     nodes = materialize(windows.groupBy("node", "more").agg(F.sum("leaves").alias("n")).where("n > 1").select("node", "more"))
     hit = windows.where("leaves = 1").join(nodes.hint("merge"), ["node", "more"]).groupBy("num").agg(F.collect_list("at").alias("starts"))
     spans = hit.mapInArrow(_runs(depth), "num long, begins array<int>, ends array<int>")

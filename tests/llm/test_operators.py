@@ -565,3 +565,14 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(con.sql(queries.ORACLE[name]).columns) == names
     got = Counter(tuple(r) for r in df.select(*names).collect())
     assert got == Counter(con.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLE[name]})").fetchall())
+
+
+def test_windows_are_cut_from_the_texts_once(spark, monkeypatch):
+    """The texts move to their anchors once: nodes and hits are read from the written windows."""
+    plans, plain = [], substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    passage = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, f"a b {passage} c"), (2, f"{passage} d"), (3, "e f")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup_substrings(docs).collect()}
+    assert got == {1: (53, 50), 2: (51, 50), 3: (2, 0)}
+    assert not any("MapInArrow" in line and "more#" in line for plan in plans for line in plan.splitlines())
