@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize, work_path
+from ..session import materialize, tidied, work_path
 from .joins import counted
 from .tokens import mix, rolling, signed, slabs
 
@@ -194,7 +194,8 @@ def dedup_substrings(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX)
     A word goes if a window of `depth` words around it starts anywhere else too. Null texts have no
     words; texts below `depth` words lose none; repeated rows are elsewhere to each other.
     """
-    many, spans = repeated_spans(docs, depth, prefix)
+    with tidied(docs.sparkSession):
+        many, spans = repeated_spans(docs, depth, prefix)
     rows = _same(_keyed(docs), counted(many.withColumn("copied", F.lit(True))), "left")
     rows = _same(rows, spans.hint("merge"), "left")
     rows = rows.select("doc_id", F.coalesce("copied", F.lit(False)).alias("copied"), "begins", "ends", "text")

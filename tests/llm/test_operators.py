@@ -576,3 +576,12 @@ def test_windows_are_cut_from_the_texts_once(spark, monkeypatch):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup_substrings(docs).collect()}
     assert got == {1: (53, 50), 2: (51, 50), 3: (2, 0)}
     assert not any("MapInArrow" in line and "more#" in line for plan in plans for line in plan.splitlines())
+
+
+def test_shuffles_of_written_steps_do_not_pile_up(spark, monkeypatch):
+    key, seen, plain = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df: seen.append(spark.conf.get(key)) or plain(df))
+    before = spark.conf.get(key)
+    rows = substrings.dedup_substrings(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string"))
+    assert set(seen) == {"true"} and spark.conf.get(key) == before
+    assert rows.count() == 2 and len(rows.collect()) == 2 and len(rows.collect()) == 2
