@@ -9,8 +9,9 @@ import re
 import sys
 from html import unescape
 from html.parser import HTMLParser
-from itertools import accumulate, chain
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -27,6 +28,7 @@ NODE = T.StructType(
     ]
 )
 NODE_NAMES = NODE.names
+SELECTED = ("pos", "last", "tag", "classes", "attrs", "text")  # what `select`, `below` and `text_of` look at
 BATCH_NODES = 20_000  # a batch of rows is handed on when it holds this many
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "template"}
@@ -52,31 +54,50 @@ MARK = re.compile(
 )
 
 
-class _Flat(HTMLParser):
-    """`nodes`: position, last descendant, parent, tag, classes, attributes, text."""
+class _Page:
+    """The nodes of a page, column by column; as a sequence, node by node.
+
+    `marks`: classes and attributes. Plain columns cost a fraction of a list for each node, and no garbage collection.
+    """
+
+    def __init__(self):
+        self.last, self.parent, self.tag, self.marks, self.text = [], [], [], [], []
 
+    def __len__(self):
+        return len(self.tag)
+
+    def __getitem__(self, i):
+        """`NODE` as a list."""
+        return [i + 1, self.last[i], self.parent[i], self.tag[i], *self.marks[i], self.text[i]]
+
+
+class _Flat(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open, self.silent = [], [], 0
+        self.nodes, self.open, self.silent = _Page(), [], 0
 
     def updatepos(self, start, end):
         return end  # lines and columns of tags are not asked for
 
-    def _add(self, tag, classes, attrs, text):
-        pos = len(self.nodes) + 1
-        self.nodes.append([pos, pos, self.open[-1] if self.open else 0, tag, classes, attrs, text])
+    def _add(self, tag, marks, text):
+        nodes = self.nodes
+        nodes.last.append(len(nodes) + 1)
+        nodes.parent.append(self.open[-1] if self.open else 0)
+        nodes.tag.append(tag)
+        nodes.marks.append(marks)
+        nodes.text.append(text)
 
     def _close(self, depth):
         for i in self.open[depth:]:
-            self.nodes[i - 1][1] = len(self.nodes)
-            self.silent -= self.nodes[i - 1][3] in SILENT
+            self.nodes.last[i - 1] = len(self.nodes)
+            self.silent -= self.nodes.tag[i - 1] in SILENT
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES:
             ends, inside = CLOSES[tag]
             for depth in range(len(self.open) - 1, -1, -1):
-                name = self.nodes[self.open[depth] - 1][3]
+                name = self.nodes.tag[self.open[depth] - 1]
                 if name in ends:
                     self._close(depth)
                     break
@@ -89,17 +110,17 @@ class _Flat(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
-        self._add(tag, attrs.get("class", "").split(), attrs, None)
+        self._add(tag, (attrs.get("class", "").split(), attrs), None)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth] - 1][3] == tag:
+            if self.nodes.tag[self.open[depth] - 1] == tag:
                 self._close(depth)
                 break
 
     def handle_data(self, data):
         if data and not self.silent:
-            self._add("#text", (), {}, data)
+            self._add("#text", NONE, data)
 
 
 def _attributes(text, known):
@@ -121,27 +142,26 @@ def _plain(page, known):
     Only marks are taken that HTMLParser reads the same way: quoted attribute values, no script with a `<`.
     """
     start = page.find("<")
-    nodes, up, names, silent, raw = [], [], [], 0, None
+    nodes, up, names, silent, raw = _Page(), [], [], 0, None
+    last, tags = nodes.last, nodes.tag
+    add_last, add_parent, add_tag, add_marks, add_text = (
+        c.append for c in (last, nodes.parent, tags, nodes.marks, nodes.text)
+    )
 
     def close(depth):
         nonlocal silent
-        last = len(nodes)
+        end = len(tags)
         for i in up[depth:]:
-            nodes[i - 1][1] = last
-            silent -= nodes[i - 1][3] in SILENT
+            last[i - 1] = end
+            silent -= tags[i - 1] in SILENT
         del up[depth:], names[depth:]
 
-    def add_text(text):
-        pos = len(nodes) + 1
-        nodes.append([pos, pos, up[-1] if up else 0, "#text", *NONE, unescape(text) if "&" in text else text])
-
-    if start:
-        before = page if start < 0 else page[:start]
-        if before:
-            add_text(before)
-        if start < 0:
-            return nodes
-    for end, tag, attributes, slash, text, other in MARK.findall(page, start):
+    before = page if start < 0 else page[:start]
+    if before:
+        add_last(1), add_parent(0), add_tag("#text"), add_marks(NONE)
+        add_text(unescape(before) if "&" in before else before)
+    pos = len(tags)
+    for end, tag, attributes, slash, text, other in MARK.findall(page, start) if start >= 0 else ():
         if other or (raw and end.lower() != raw):
             return None
         raw = None
@@ -155,9 +175,9 @@ def _plain(page, known):
                         break
                     if names[depth] in inside:
                         break
-            classes, attrs = _attributes(attributes, known) if attributes else NONE
-            pos = len(nodes) + 1
-            nodes.append([pos, pos, up[-1] if up else 0, tag, classes, attrs, None])
+            pos += 1
+            add_last(pos), add_parent(up[-1] if up else 0), add_tag(tag), add_text(None)
+            add_marks(_attributes(attributes, known) if attributes else NONE)
             if not slash:
                 if tag not in VOID:
                     up.append(pos)
@@ -167,12 +187,16 @@ def _plain(page, known):
                     raw = tag
         elif end:
             end = end.lower()
-            for depth in range(len(names) - 1, -1, -1):
-                if names[depth] == end:
-                    close(depth)
-                    break
+            if names and names[-1] == end:
+                names.pop()
+                last[up.pop() - 1] = pos
+                silent -= end in SILENT
+            elif end in names:
+                close(len(names) - 1 - names[::-1].index(end))
         if text and not silent:
-            add_text(text)
+            pos += 1
+            add_last(pos), add_parent(up[-1] if up else 0), add_tag("#text"), add_marks(NONE)
+            add_text(unescape(text) if "&" in text else text)
     if raw:
         return None
     close(0)
@@ -192,94 +216,131 @@ def _flat(page):
     return parser.nodes
 
 
-def _meets(node, tag=None, cls=None, attr=None, **has):
-    """`is_el` for one parsed node."""
-    if (node[3] not in tag.split()) if tag else (node[3] == "#text"):
-        return False
-    if (cls and cls not in node[4]) or (attr and attr not in node[5]):
-        return False
-    return all(part in node[5].get(name, "") for name, part in has.items())
+def _meeting(nodes, tag=None, cls=None, attr=None, **has):
+    """`is_el` for parsed nodes: the places of those that meet it."""
+    marks = nodes.marks
+    if tag:
+        tags = tag.split()
+        met = [i for i, t in enumerate(nodes.tag) if t in tags]
+    else:
+        met = [i for i, t in enumerate(nodes.tag) if t != "#text"]
+    if cls:
+        met = [i for i in met if cls in marks[i][0]]
+    if attr:
+        met = [i for i in met if attr in marks[i][1]]
+    for name, part in has.items():
+        met = [i for i in met if part in marks[i][1].get(name, "")]
+    return met
 
 
 def _on_path(nodes, path):
-    """Nodes that meet the last step and lie within nodes that meet the ones before, in one pass a step.
+    """Places of nodes that meet the last step and lie within nodes that meet the ones before, in one pass a step.
 
     Subtrees nest, so a node lies within an earlier one if the farthest end among these reaches it.
     """
-    picked = [n for n in nodes if _meets(n, **path[0])]
+    picked = _meeting(nodes, **path[0])
     for step in path[1:]:
-        held, end, holders = [], 0, iter([*picked, None])
+        held, end, holders = [], 0, iter([*picked, len(nodes)])
         h = next(holders)
-        for n in nodes:
-            if n[0] <= end and _meets(n, **step):
-                held.append(n)
-            if h is n:
-                end, h = max(end, n[1]), next(holders)
+        for i in _meeting(nodes, **step):
+            while h < i:
+                end, h = max(end, nodes.last[h]), next(holders)
+            if i < end:
+                held.append(i)
         picked = held
     return picked
 
 
-def _holders(nodes, node):
-    """Holders of a node, nearest first, by the way up."""
-    while node[2]:
-        node = nodes[node[2] - 1]
-        yield node
+def _holders(nodes, i):
+    """Places of a node's holders, nearest first, by the way up."""
+    while i := nodes.parent[i]:
+        i -= 1
+        yield i
 
 
-def _below(nodes, node):
-    return nodes[node[0] : node[1]] if node else ()
+def _below(nodes, i):
+    return range(0) if i is None else range(i + 1, nodes.last[i])
 
 
 class _Runs:
-    """Runs of nodes on their way into an Arrow array of arrays."""
-
-    def __init__(self):
-        self.nodes, self.ends = [], [0]
-
-    def add(self, nodes):
-        self.nodes.extend(nodes)
-        self.ends.append(len(self.nodes))
+    """Runs of nodes on their way into an Arrow array of arrays, with some of the fields of `NODE`."""
+
+    def __init__(self, fields=NODE_NAMES):
+        self.fields, self.nodes, self.pos, self.ends = fields, _Page(), [], [0]
+        asked = {"marks" if f in ("classes", "attrs") else f for f in fields} - {"pos"}
+        self.held = [(name, getattr(self.nodes, name)) for name in sorted(asked)]
+
+    def add(self, page, places):
+        """`places`: a range or list of places in the page, or the page itself for all."""
+        if places is page:
+            places = range(len(page))
+        whole = isinstance(places, range)
+        for name, held in self.held:
+            of = getattr(page, name)
+            held.extend(of[places.start : places.stop] if whole else [of[i] for i in places])
+        self.pos.extend(range(places.start + 1, places.stop + 1) if whole else [i + 1 for i in places])
+        self.ends.append(len(self.pos))
 
     def array(self):
-        pos, last, parent, tag, classes, attrs, text = zip(*self.nodes) if self.nodes else ((),) * 7
-        ends = lambda lists: pa.array([0, *accumulate(map(len, lists))], pa.int32())
-        flat = lambda lists: pa.array(list(chain.from_iterable(lists)), pa.string())
-        numbers = [pa.array(c, pa.int32()) for c in (pos, last, parent)]
-        names = pa.ListArray.from_arrays(ends(classes), flat(classes))
-        pairs = pa.MapArray.from_arrays(ends(attrs), flat(attrs), flat([a.values() for a in attrs]))
-        columns = [*numbers, pa.array(tag, pa.string()), names, pairs, pa.array(text, pa.string())]
-        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(columns, NODE_NAMES))
+        nodes = self.nodes
+        marked = [(i, m) for i, m in enumerate(nodes.marks) if m is not NONE]
 
+        def ends(which):
+            counts = np.zeros(len(self.pos) + 1, "int32")
+            counts[[i + 1 for i, _ in marked]] = [len(m[which]) for _, m in marked]
+            return pa.array(np.cumsum(counts, dtype="int32"))
 
-def _rows(pages: DataFrame, html: str, names, runs_of) -> DataFrame:
-    """Rows made from pages: `runs_of(nodes of a page)` yields a run of nodes for each name, as often as it likes.
+        flat = lambda lists: pa.array(list(chain.from_iterable(lists)), pa.string())
+        made = {
+            "pos": lambda: pa.array(self.pos, pa.int32()),
+            "last": lambda: pa.array(nodes.last, pa.int32()),
+            "parent": lambda: pa.array(nodes.parent, pa.int32()),
+            "tag": lambda: pa.array(nodes.tag, pa.string()),
+            "classes": lambda: pa.ListArray.from_arrays(ends(0), flat(m[0] for _, m in marked)),
+            "attrs": lambda: pa.MapArray.from_arrays(ends(1), flat(m[1] for _, m in marked), flat(m[1].values() for _, m in marked)),
+            "text": lambda: pa.array(nodes.text, pa.string()),
+        }
+        columns = pa.StructArray.from_arrays([made[f]() for f in self.fields], self.fields)
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), columns)
+
+
+def _rows(pages: DataFrame, html: str, names, runs_of, fields=None) -> DataFrame:
+    """Rows made from pages: `runs_of(nodes of a page)` yields a run of their places for each name, as often as it likes.
 
     Pages are parsed one by one and rows handed on as soon as they hold `BATCH_NODES`, so a worker keeps one page
-    and one batch, whatever the number and the size of the pages. No shuffle.
+    and one batch, whatever the number and the size of the pages. No shuffle. `fields` of a name are those of `NODE` that its
+    nodes have, in their order; all, unless given.
     """
     kept = [f for f in pages.schema.fields if f.name != html]
-    schema = T.StructType(kept + [T.StructField(n, T.ArrayType(NODE)) for n in names])
+    fields = {n: [f for f in NODE_NAMES if fields is None or f in fields[n]] for n in names}
+    of = {n: T.StructType([NODE[f] for f in fields[n]]) for n in names}
+    schema = T.StructType(kept + [T.StructField(n, T.ArrayType(of[n])) for n in names])
 
     kept = [f.name for f in kept]
-    return pages.mapInArrow(lambda batches: _parse_batches(batches, html, kept, names, runs_of), schema)
+    return pages.mapInArrow(lambda batches: _parse_batches(batches, html, kept, names, runs_of, fields), schema)
+
 
+def _parse_batches(batches, html, kept, names, runs_of, fields=None):
+    def fresh():
+        return [_Runs(fields[n]) if fields else _Runs() for n in names]
 
-def _parse_batches(batches, html, kept, names, runs_of):
     def made(batch, origins, runs):
         rest = batch.select(kept).take(pa.array(origins, pa.int64())).columns if kept else []
         return pa.RecordBatch.from_arrays([*rest, *[r.array() for r in runs]], [*kept, *names])
 
     known = {}
     for batch in batches:
-        pages, origins, runs = batch.column(html), [], [_Runs() for _ in names]
+        pages, origins, runs, held = batch.column(html), [], fresh(), 0
         for i in range(batch.num_rows):
-            for row in runs_of(_parse(pages[i].as_py(), known)):
+            page = _parse(pages[i].as_py(), known)
+            for row in runs_of(page):
                 origins.append(i)
-                for r, nodes in zip(runs, row):
-                    r.add(nodes)
-                if sum(r.ends[-1] for r in runs) >= BATCH_NODES:
+                for r, places in zip(runs, row):
+                    r.add(page, places)
+                    held += len(places)
+                if held >= BATCH_NODES:
                     yield made(batch, origins, runs)
-                    origins, runs = [], [_Runs() for _ in names]
+                    origins, runs, held = [], fresh(), 0
         if origins:
             yield made(batch, origins, runs)
 
@@ -289,23 +350,31 @@ def with_nodes(pages: DataFrame, html="html") -> DataFrame:
     return _rows(pages, html, ["nodes"], lambda nodes: [(nodes,)])
 
 
-def cards(pages: DataFrame, *path, html="html", item: str | None = None, around=True) -> DataFrame:
+def cards(pages: DataFrame, *path, html="html", item: str | None = None, around=True, fields=None) -> DataFrame:
     """One row per node on the path: `card`; `sub`, the nodes below it; `around`, if asked for, its holders, nearest first.
 
     With `item`, also `within`: the nodes below the nearest holder of that tag. Nothing else of a page leaves its parser.
+    `fields` names what is asked for, as every node costs time on its way: for each column the fields of its nodes; a column that
+    is not in it is left out. All by default.
     """
     names = ["card", "sub"] + (["around"] if around else []) + (["within"] if item else [])
+    names = [n for n in names if fields is None or n in fields]
 
     def runs(nodes):
         for card in _on_path(nodes, path):
-            own = [[card], _below(nodes, card)]
-            if around:
+            own = []
+            if "card" in names:
+                own.append(range(card, card + 1))
+            if "sub" in names:
+                own.append(_below(nodes, card))
+            if "around" in names:
                 own.append(list(_holders(nodes, card)))
-            if item:
-                own.append(_below(nodes, next((h for h in _holders(nodes, card) if h[3] == item), None)))
+            if "within" in names:
+                own.append(_below(nodes, next((h for h in _holders(nodes, card) if nodes.tag[h] == item), None)))
             yield own
 
-    return _rows(pages, html, names, runs).withColumn("card", first(F.col("card")))
+    rows = _rows(pages, html, names, runs, fields)
+    return rows.withColumn("card", first(F.col("card"))) if "card" in names else rows
 
 
 def once(df: DataFrame, **columns) -> DataFrame:
@@ -373,7 +442,8 @@ def texts(nodes) -> Column:
 
 def segments(nodes) -> Column:
     """Text pieces, also split at vertical bars."""
-    parts = F.flatten(F.transform(texts(nodes), lambda t: F.split(t, r"\|")))
+    pieces = F.filter(nodes, lambda n: n["tag"] == "#text")
+    parts = F.flatten(F.transform(pieces, lambda n: F.split(n["text"], r"\|")))
     return F.filter(F.transform(parts, strip), lambda t: t != "")
 
 

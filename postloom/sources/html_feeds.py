@@ -8,7 +8,7 @@ expressions over the page's nodes.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.html import (
-    attr_of, below, cards, first, holders, is_el, once, raw_length, segments, select, text_of, texts_of, with_nodes,
+    SELECTED, attr_of, below, cards, first, holders, is_el, once, raw_length, segments, select, text_of, texts_of, with_nodes,
 )
 from ..functions.text import absolute_url, contains_any, is_it_title, let, or_default, strip, text
 from ..lexicons import (
@@ -17,6 +17,8 @@ from ..lexicons import (
 )
 from .json_feeds import raw_posting
 
+AROUND = {"sub": SELECTED, "around": SELECTED}
+LINKS = {"sub": SELECTED, "around": ("tag", "attrs"), "within": ("tag", "attrs")}
 
 
 def found(nodes: Column, *path, **last) -> Column:
@@ -43,7 +45,7 @@ def saramin(pages: DataFrame) -> DataFrame:
         sub, {"tag": "div", "cls": "job_meta"}, {"tag": "span", "cls": "job_sector"}, {"tag": "span"}
     )
     rows = once(
-        cards(pages, {"tag": "div", "cls": "list_item"}, around=False),
+        cards(pages, {"tag": "div", "cls": "list_item"}, fields={"sub": SELECTED}),
         t=text(text_of(sub, link)), href=href_of(link), s=texts_of(sub, F.slice(sectors, 1, 3)),
     ).where(is_it_title("t"))
     base = F.when(F.size("s") > 0, F.array_join("s", ", ")).otherwise(F.concat(F.lit("cat_"), F.col("label")))
@@ -63,7 +65,7 @@ def linkedin(pages: DataFrame) -> DataFrame:
     """The date found is the day of posting; it is kept as deadline, as the feed always did."""
     sub = F.col("sub")
     rows = once(
-        cards(pages, {"tag": "li"}, around=False), t=found(sub, tag="h3", cls="base-search-card__title")
+        cards(pages, {"tag": "li"}, fields={"sub": SELECTED}), t=found(sub, tag="h3", cls="base-search-card__title")
     ).where(is_it_title("t"))
     day = first(select(sub, tag="time"))
     return raw_posting(
@@ -81,7 +83,7 @@ def naver(pages: DataFrame, terms=NAVER_TERMS) -> DataFrame:
     sub = F.col("sub")
     info = [{"tag": "dl", "cls": "card_info"}, {"tag": "dd", "cls": "info_text"}]
     rows = once(
-        cards(pages, {"tag": "li", "cls": "card_item"}, around=False),
+        cards(pages, {"tag": "li", "cls": "card_item"}, fields={"sub": SELECTED}),
         t=found(sub, tag="h4", cls="card_title"),
         about=F.lower(F.array_join(texts_of(sub, select(sub, *info)), " ")),
         dl=below(sub, first(select(sub, tag="dl", cls="card_info"))),
@@ -162,7 +164,8 @@ def jobkorea(pages: DataFrame) -> DataFrame:
 
 
 def jobplanet(pages: DataFrame) -> DataFrame:
-    rows = once(cards(pages, {"tag": "a", "href": "posting_ids"}, around=False), parts=segments(F.col("sub")))
+    links = cards(pages, {"tag": "a", "href": "posting_ids"}, fields={"card": ("attrs",), "sub": ("tag", "text")})
+    rows = once(links, parts=segments(F.col("sub")))
     rows = rows.where(F.size("parts") > 0)
     alone = F.size("parts") == 1
     title = F.when(alone, F.get("parts", F.lit(0))).otherwise(F.get("parts", F.lit(1)))
@@ -187,7 +190,7 @@ def holder(tag: str) -> Column:
 def kakao(pages: DataFrame) -> DataFrame:
     """The card's own list item's job link counts, or else the link around the card."""
     inside = first(F.filter("within", lambda n: is_el(n, tag="a", href="/jobs/")))
-    rows = cards(pages, {"tag": "div", "cls": "area_info"}, item="li").withColumn("href", href_of(F.coalesce(inside, holder("a"))))
+    rows = cards(pages, {"tag": "div", "cls": "area_info"}, item="li", fields=LINKS).withColumn("href", href_of(F.coalesce(inside, holder("a"))))
     sub = F.col("sub")
     rows = once(rows, t=found(sub, tag="h3 h4", cls="tit_jobs")).where("t <> ''")
     facts = texts_of(sub, select(sub, {"tag": "dl", "cls": "list_info"}, {"tag": "dd"}))
@@ -204,7 +207,7 @@ def kakao(pages: DataFrame) -> DataFrame:
 
 def toss(pages: DataFrame, terms=TOSS_TERMS, card_class="css-1lnizc9") -> DataFrame:
     own = first(F.filter("sub", lambda n: is_el(n, tag="a", attr="href")))
-    rows = cards(pages, {"tag": "li", "cls": card_class}).withColumn("href", href_of(F.coalesce(holder("a"), own)))
+    rows = cards(pages, {"tag": "li", "cls": card_class}, fields=AROUND).withColumn("href", href_of(F.coalesce(holder("a"), own)))
     sub = F.col("sub")
     rows = once(
         rows,
@@ -226,7 +229,7 @@ def toss(pages: DataFrame, terms=TOSS_TERMS, card_class="css-1lnizc9") -> DataFr
 
 def rallit(pages: DataFrame) -> DataFrame:
     own = first(F.filter("sub", lambda n: is_el(n, tag="a", href="/positions/")))
-    rows = cards(pages, {"tag": "article"}).withColumn("href", href_of(F.coalesce(own, holder("a"))))
+    rows = cards(pages, {"tag": "article"}, fields=AROUND).withColumn("href", href_of(F.coalesce(own, holder("a"))))
     sub = F.col("sub")
     heading = first(select(sub, tag="h2 h3 h4"))
     # the longest paragraph, the earlier one among equals

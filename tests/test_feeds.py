@@ -254,3 +254,35 @@ def test_plain_pages_are_read_as_the_full_parser_reads_them():
         quick += got is not None
         assert got is None or [[*n[:4], list(n[4]), *n[5:]] for n in got] == [[*n[:4], list(n[4]), *n[5:]] for n in want], page
     assert quick > 1500
+
+
+def test_only_what_a_feed_asks_for_leaves_the_parser(spark):
+    """Columns and fields that are not asked for are not moved; those that are hold what the whole ones hold."""
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(i, random_page(rng)) for i in range(60)] + [(61, None)], "page int, html string").coalesce(2)
+    path = [{"tag": "div li", "cls": "x"}, {"attr": "href"}]
+    whole = pages_of.cards(pages, *path, item="li")
+    asked = {"card": ("attrs",), "sub": ("text", "tag"), "within": ("last", "classes", "pos")}
+    some = pages_of.cards(pages, *path, item="li", fields=asked)
+    assert some.columns == ["page", "card", "sub", "within"] and some.schema["card"].dataType.names == ["attrs"]
+    assert some.schema["sub"].dataType.elementType.names == ["tag", "text"]
+    shown = ["page", "card.attrs", "sub.tag", "sub.text", "within.pos", "within.last", "within.classes"]
+    want = sorted(map(str, whole.select(*shown).collect()))
+    assert sorted(map(str, some.select(*shown).collect())) == want and len(want) > 50
+    # as the feed of links asks for them
+    moved = html_feeds.jobplanet(page(spark, "<a href='/job?posting_ids=1'><i>개발</i></a>"))._jdf.queryExecution().analyzed().toString()
+    assert "parent" not in moved and "around" not in moved
+
+
+def test_nodes_of_a_page_are_held_in_columns():
+    """No object of its own for a node: what the garbage collector goes through does not grow with the page."""
+    for parse in (pages_of._flat, lambda p: pages_of._plain(p, {})):
+        nodes = parse("<p>a</p>" * 1000)
+        assert len(nodes) == 2000 and nodes[1999] == [2000, 2000, 1999, "#text", (), {}, "a"]
+        assert not isinstance(nodes, list) and [len(c) for c in vars(nodes).values()] == [2000] * 5
+
+
+def test_segments_of_odd_texts(spark):
+    html = "<a href='/x?posting_ids=1'>\u3000|<b> a | b||</b>\xa0<i>|</i> 개발 |c\u2003</a>"
+    got = pages_of.cards(page(spark, html), {"tag": "a"}).select(pages_of.segments(F.col("sub")).alias("s")).head().s
+    assert got == ["a", "b", "개발", "c"]
