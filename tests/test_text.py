@@ -156,3 +156,14 @@ def test_strip_takes_what_the_unicode_pattern_takes(spark):
     by_pattern = F.regexp_replace("s", r"(?U)^\s+|\s+$", "")
     assert df.where(~by_pattern.eqNullSafe(tx.strip("s"))).count() == 0
     assert df.select(tx.strip("s").alias("x")).where("x = ''").count() > 20
+
+
+def test_terms_are_plain_text(spark):
+    """Also signs that mean something within a pattern, and its quoting."""
+    rows = ["a\\E. x", "abc", "a.c", None, ""]
+    assert values(spark, rows, lambda c: tx.contains_any(c, ["a\\E."])) == [True, False, False, False, False]
+    assert values(spark, rows, lambda c: tx.contains_any(c, ["a.c", "zz"])) == [False, False, True, False, False]
+    assert values(spark, rows, lambda c: tx.contains_any(c, [])) == [False] * 5
+    titles = ["Backend \\E 개발", "경비 개발", "개발", "요리사", None]
+    assert values(spark, titles, tx.is_it_title) == [True, False, True, False, False]
+    assert values(spark, titles, lambda c: tx.is_it_title(c, white=["\\E"], black=["zz"])) == [True, False, False, False, False]
