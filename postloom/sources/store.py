@@ -5,8 +5,8 @@ deadline and updated_at of known uids whose deadline moved. Each carries the wri
 place in the order (`version`), and the table is one grouping of them by uid.
 
 Known uids are looked up in two columns, so that a batch writes only what it changed. A batch handed over again is
-classed against what stood before it and adds the rows that are not there yet: none, or those that a broken run
-could not write. Writers take turns; the table has no lock. To fold a long history, put `read()` into a new table.
+classed against what stood before it, by uid and deadline alone, and adds the rows that are not there yet: none, or those
+that a broken run could not write. Writers take turns; the table has no lock. To fold a long history, put `read()` into a new table.
 """
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
@@ -48,11 +48,23 @@ class PostingStore:
         """Newest rows that meet the filters of `table_filter`; no limit unless asked for."""
         return newest(self.read().where(table_filter(**filters)), limit)
 
+    def _again(self, batch: DataFrame, own: Column, version: int):
+        """Counts of a batch handed over again, and of the rows that it should have left and has not."""
+        hits = classify(self._known(version), one_row_per_uid(batch.select("uid", "deadline")))
+        done = self.changes().where(own).select("uid").distinct().withColumn("_done", F.lit(True))
+        missing = F.count_if((F.col("action") != "skip") & F.col("_done").isNull()).alias("missing")
+        return hits.join(done, "uid", "left").agg(*[F.count_if(F.col("action") == a).alias(a) for a in ACTIONS], missing).head()
+
     def upsert(self, batch: DataFrame, batch_id: int, writer: str = "batch") -> tuple[int, int, int]:
         """(inserted, updated, skipped). Running a writer's batch again changes nothing."""
         own = (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
         mine, last = self.changes().agg(F.max(F.when(own, F.col("version"))), F.max("version")).head()
         version = mine or (last or 0) + 1
+        if mine:
+            # uids and deadlines tell whether a row is missing; rows are made whole only if one is
+            *tallied, missing = self._again(batch, own, version)
+            if not missing:
+                return tuple(tallied)
         tally = Observation()
         merged = classify(self._known(version), one_row_per_uid(batch.select(*POSTING.names))).observe(
             tally, *[F.count_if(F.col("action") == a).alias(a) for a in ACTIONS]

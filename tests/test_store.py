@@ -191,3 +191,25 @@ def test_windows_of_a_stream_forget_what_is_over(spark, tmp_path):
     best = {(str(r.window_start)[11:13], r.user_id, r.event_type): r.m for r in got.groupBy("window_start", "user_id", "event_type").agg(F.min("first").alias("m")).collect()}
     assert best == {("01", 1, "a"): 3, ("01", 2, "a"): 6, ("09", 1, "a"): 7, ("08", 2, None): 9}
     assert last["stateOperators"][0]["numRowsTotal"] <= 2  # the windows of one o'clock are gone
+
+
+def test_a_batch_handed_over_again_is_not_made_whole(spark, tmp_path):
+    """Uid and deadline tell that no row is missing, so that the other columns are never computed."""
+    store = PostingStore(spark, str(tmp_path / "s"))
+    assert store.upsert(records(spark, DAY1, *OLD), 0) == (5, 0, 0)
+    new = records(spark, DAY2, *NEW, {"uid": "f", "deadline": "z"})
+    assert store.upsert(new, 1) == (1, 3, 2)
+    before = store.changes().count()
+    broken = new.withColumn("description", F.raise_error(F.lit("computed")).cast("string"))
+    assert store.upsert(broken, 1) == (1, 3, 2)
+    assert store.changes().count() == before and deadlines(store.read())["f"][0] == "z"
+
+
+def test_rows_stay_where_their_uid_put_them(spark, raw):
+    """From the first of each uid to one row per uid there is one exchange."""
+    from postloom.operators import dedup
+
+    rows = raw(*[{"title": f"t{i % 7}", "company": "c"} for i in range(40)])
+    batch = upsert.one_row_per_uid(refine.to_records(refine.enrich(dedup.dedup_uid(dedup.with_uid(rows))), F.lit(DAY1)))
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and batch.count() == 7
