@@ -45,13 +45,17 @@ CLOSES.update({tag: ({"p"}, {"div", "article", "section", "li", "dd", "td", "bod
 
 ATTRIBUTE = r"""[ \n]+([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:="([^"]*)"|='([^']*)')?"""
 ATTRIBUTES = re.compile(ATTRIBUTE)
-REMEMBERED = 4_096  # attribute texts that a task remembers
+REMEMBERED, SHORT = 4_096, 1_000  # marks that a task remembers, if they are shorter than this
 NONE = ((), {})  # classes and attributes of a node without any
-# a mark with the text behind it: end tag, or start tag, attributes and slash, or comment or type of document; or what is none
-MARK = re.compile(
+PLAIN_MARK = (
     r"<(?:/([a-zA-Z][-a-zA-Z0-9]*)|([a-zA-Z][-a-zA-Z0-9]*)((?:" + re.sub(r"\((?!\?)", "(?:", ATTRIBUTE) + r")*)[ \n]*(/?)"
-    r"|!--(?:[^->]|-(?![->]))*--|![dD][oO][cC][tT][yY][pP][eE][^<>\[]*)>([^<]*)|(<)"
+    r"|!--(?:[^->]|-(?![->]))*--|![dD][oO][cC][tT][yY][pP][eE][^<>\[]*)>"
 )
+# end tag, or start tag, attributes and slash, or none of them: comment or type of document
+MARK = re.compile(PLAIN_MARK)
+# a mark with the text behind it, or what is none
+MARKS = re.compile("(" + re.sub(r"\((?!\?)", "(?:", PLAIN_MARK) + ")([^<]*)|(<)")
+OTHER, END, SINGLE, OPEN = range(4)
 
 
 class _Page:
@@ -123,16 +127,28 @@ class _Flat(HTMLParser):
             self._add("#text", NONE, data)
 
 
-def _attributes(text, known):
-    """Classes and attributes; never changed, so that nodes may share them. `known` remembers some."""
-    if (found := known.get(text)) is None:
-        attrs = {}
-        for name, double, single in ATTRIBUTES.findall(text):
-            value = double or single
-            attrs[name.lower()] = unescape(value) if "&" in value else value
+def _mark(mark, known):
+    """Kind, tag, classes and attributes, what it closes, and whether its content is raw.
+
+    Never changed, so that nodes may share them. `known` remembers some.
+    """
+    end, tag, attributes, slash = MARK.fullmatch(mark).groups()
+    if tag:
+        tag, marks = tag.lower(), NONE
+        if attributes:
+            attrs = {}
+            for name, double, single in ATTRIBUTES.findall(attributes):
+                value = double or single
+                attrs[name.lower()] = unescape(value) if "&" in value else value
+            marks = attrs.get("class", "").split(), attrs
+        raw = not slash and tag in HTMLParser.CDATA_CONTENT_ELEMENTS
+        found = SINGLE if slash or tag in VOID else OPEN, tag, marks, None if slash else CLOSES.get(tag), raw
+    else:
+        found = END if end else OTHER, (end or "").lower(), NONE, None, False
+    if len(mark) < SHORT:
         if len(known) >= REMEMBERED:
             known.clear()
-        found = known[text] = attrs.get("class", "").split(), attrs
+        known[mark] = found
     return found
 
 
@@ -161,14 +177,16 @@ def _plain(page, known):
         add_last(1), add_parent(0), add_tag("#text"), add_marks(NONE)
         add_text(unescape(before) if "&" in before else before)
     pos = len(tags)
-    for end, tag, attributes, slash, text, other in MARK.findall(page, start) if start >= 0 else ():
-        if other or (raw and end.lower() != raw):
+    for mark, text, other in MARKS.findall(page, start) if start >= 0 else ():
+        if other:
+            return None
+        kind, tag, marks, closes, is_raw = known.get(mark) or _mark(mark, known)
+        if raw and (kind != END or tag != raw):
             return None
         raw = None
-        if tag:
-            tag = tag.lower()
-            if tag in CLOSES and not slash:
-                ends, inside = CLOSES[tag]
+        if kind >= SINGLE:
+            if closes:
+                ends, inside = closes
                 for depth in range(len(names) - 1, -1, -1):
                     if names[depth] in ends:
                         close(depth)
@@ -176,23 +194,20 @@ def _plain(page, known):
                     if names[depth] in inside:
                         break
             pos += 1
-            add_last(pos), add_parent(up[-1] if up else 0), add_tag(tag), add_text(None)
-            add_marks(_attributes(attributes, known) if attributes else NONE)
-            if not slash:
-                if tag not in VOID:
-                    up.append(pos)
-                    names.append(tag)
-                    silent += tag in SILENT
-                if tag in HTMLParser.CDATA_CONTENT_ELEMENTS:
-                    raw = tag
-        elif end:
-            end = end.lower()
-            if names and names[-1] == end:
+            add_last(pos), add_parent(up[-1] if up else 0), add_tag(tag), add_text(None), add_marks(marks)
+            if kind == OPEN:
+                up.append(pos)
+                names.append(tag)
+                silent += tag in SILENT
+            if is_raw:
+                raw = tag
+        elif kind == END:
+            if names and names[-1] == tag:
                 names.pop()
                 last[up.pop() - 1] = pos
-                silent -= end in SILENT
-            elif end in names:
-                close(len(names) - 1 - names[::-1].index(end))
+                silent -= tag in SILENT
+            elif tag in names:
+                close(len(names) - 1 - names[::-1].index(tag))
         if text and not silent:
             pos += 1
             add_last(pos), add_parent(up[-1] if up else 0), add_tag("#text"), add_marks(NONE)

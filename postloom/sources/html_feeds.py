@@ -27,7 +27,7 @@ def found(nodes: Column, *path, **last) -> Column:
 
 
 def href_of(node: Column) -> Column:
-    return F.when(node.isNotNull(), text(attr_of(node, "href"))).otherwise("")
+    return text(attr_of(node, "href"))  # blank if there is no node; one that is named twice would be looked for twice
 
 
 def first_match(parts: Column, pattern: str, shorter_than: int | None = None) -> Column:
@@ -67,13 +67,12 @@ def linkedin(pages: DataFrame) -> DataFrame:
     rows = once(
         cards(pages, {"tag": "li"}, fields={"sub": SELECTED}), t=found(sub, tag="h3", cls="base-search-card__title")
     ).where(is_it_title("t"))
-    day = first(select(sub, tag="time"))
     return raw_posting(
         rows, "링크드인",
         title=F.col("t"),
         company=found(sub, {"tag": "h4", "cls": "base-search-card__subtitle"}, {"tag": "a"}),
         location=found(sub, tag="span", cls="job-search-card__location"),
-        deadline=F.when(day.isNotNull(), text(attr_of(day, "datetime"))),
+        deadline=attr_of(first(select(sub, tag="time")), "datetime"),
         url=F.substring_index(href_of(first(select(sub, tag="a", cls="base-card__full-link"))), "?", 1),
         keyword=F.col("label"),
     )
