@@ -1,6 +1,7 @@
 """Normalised indel similarity: 200 * LCS(a, b) / (len(a) + len(b))."""
 
 import sys
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,11 @@ SLOTS = 32  # characters are counted by code point modulo this
 MOST = 16_000  # what a count is cut to: differences only shrink
 HELD_CHARACTERS = 1_000_000  # keys whose characters' places a task remembers
 TILE = 8_192  # keys that one key is held against at once
+BEGIN = 3.2  # of how many times the allowed insertions and deletions the beginning of a key is long
+BEGIN_FROM = 128  # characters of a key from which on its beginning is compared first
+BEGIN_BITS = 1 << 15  # characters of beginnings that are compared at once
+NO_CHARACTER = 255
+FIRST = 8  # closest keys that are compared at once if one match is enough
 
 
 def _places(a: str) -> dict[str, int]:
@@ -96,46 +102,146 @@ def reaches(a, b, threshold: int) -> Column:
     return 200 * lcs_length(col(a), col(b)) >= threshold * total
 
 
+def _some(keys):
+    """Slices of keys, of few characters each."""
+    begin = size = 0
+    for i, key in enumerate(keys):
+        if size > HELD_CHARACTERS:
+            yield keys[begin:i]
+            begin, size = i, 0
+        size += len(key)
+    yield keys[begin:]
+
+
+def _code_points(keys) -> np.ndarray:
+    return np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)
+
+
 def _bags(keys) -> tuple[np.ndarray, np.ndarray]:
     """Lengths, and per key how often its characters occur, by slot."""
-    sizes = np.array([len(k) for k in keys], np.int64)
-    codes = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32) % SLOTS
-    of = np.repeat(np.arange(len(keys)) * SLOTS, sizes) + codes
-    counts = np.bincount(of, minlength=len(keys) * SLOTS).reshape(len(keys), SLOTS)
-    return sizes, np.minimum(counts, MOST).astype(np.int16)
+    sizes, counts = np.array([len(k) for k in keys], np.int64), []
+    for some in _some(keys):
+        of = np.repeat(np.arange(len(some)) * SLOTS, [len(k) for k in some]) + _code_points(some) % SLOTS
+        bags = np.bincount(of, minlength=len(some) * SLOTS).reshape(len(some), SLOTS)
+        counts.append(np.minimum(bags, MOST).astype(np.int16))
+    return sizes, np.concatenate(counts)
+
+
+def _folded(keys) -> np.ndarray:
+    """All characters in a row, by code point modulo `NO_CHARACTER`."""
+    return np.concatenate([(_code_points(some) % NO_CHARACTER).astype(np.uint8) for some in _some(keys)])
 
 
 def by_length(ranks, keys):
-    """Ranks, keys and lengths, shortest first, and the bags by slot."""
+    """Ranks, keys and lengths, shortest first, the bags by slot, and the characters."""
     sizes, bags = _bags(keys)
     order = np.argsort(sizes, kind="stable")
-    return np.asarray(ranks, np.int64)[order], [keys[i] for i in order], sizes[order], np.ascontiguousarray(bags[order].T)
+    keys = [keys[i] for i in order]
+    return np.asarray(ranks, np.int64)[order], keys, sizes[order], np.ascontiguousarray(bags[order].T), _folded(keys)
+
+
+def _gaps(bags, some: slice, own, total: int) -> np.ndarray:
+    """By how much the counts of the keys `some` differ from `own`, summed over the slots."""
+    # differences of keys of so many characters together sum up to no more
+    gap = np.zeros(some.stop - some.start, np.int16 if total < 1 << 15 else np.int32)
+    one = np.empty(len(gap), np.int16)
+    for slot in range(SLOTS):
+        np.subtract(bags[slot, some], own[slot], out=one)
+        np.abs(one, out=one)
+        gap += one
+    return gap
+
+
+def _begin_alike(key: str, threshold: int, sizes, starts, chars) -> np.ndarray:
+    """Which keys (their sizes and starts in `chars`) may match `key`, by the beginnings of both.
+
+    Where the key's first characters end, a common subsequence is at some place of the other key. Insertions and deletions
+    up to there are known from the bits of one pass over the beginning, and what remains of both differs by as many at
+    least as in length. Characters that fold into one only let more keys pass.
+    """
+    size, spare = len(key), 100 - threshold
+    j = int(BEGIN * spare * size / 100)
+    # no place further on is reached with so many deletions
+    width = j + int(np.max(sizes - threshold * (sizes + size) // 200))
+    if not j or width > sizes.min():
+        return np.ones(len(sizes), bool)
+    table = np.full((len(sizes), width + 1), NO_CHARACTER, np.uint8)
+    table[:, :width] = chars[starts[:, None] + np.arange(width)]
+    table = table.ravel()
+
+    def bits(some):
+        return int.from_bytes(np.packbits(some, bitorder="little").tobytes(), "little")
+
+    begin = _folded([key[:j]]).tolist()
+    where = {ch: bits(table == ch) for ch in set(begin)}
+    row = full = bits(table != NO_CHARACTER)
+    for ch in begin:
+        hit = row & where[ch]
+        if hit:
+            row = ((row + hit) | (row ^ hit)) & full
+    left = np.frombuffer(row.to_bytes(-(-len(table) // 8), "little"), np.uint8)
+    left = np.unpackbits(left, count=len(table), bitorder="little").reshape(-1, width + 1)[:, :width]
+    # x - common, for each place x
+    lost = np.zeros((len(sizes), width + 1), np.int32)
+    np.cumsum(left, axis=1, dtype=np.int32, out=lost[:, 1:])
+    x = np.arange(width + 1, dtype=np.int32)
+    rest = (sizes - size + j).astype(np.int32)[:, None] - x
+    least = (2 * lost - x + j + np.abs(rest)).min(axis=1)
+    return 100 * least.astype(np.int64) <= spare * (sizes + size)
 
 
 def near_pairs(batches, left, threshold: int, ordered: bool, single: bool, names):
     """(a, b, ka, kb) or with `single` (b): rows of (rank, key) next to those of `left` (`by_length`) that match them.
 
     Each key is held against all of `left` of a length that fits, by their bags: an insertion or deletion moves
-    one count by one. What is left is compared at once, so that no pair that does not match leaves the task. With
-    `single` the first match of a key is enough.
+    one count by one. Of long ones that are left the beginnings are compared, and what then is left is compared whole, so
+    that no pair that does not match leaves the task. With `single` the first match of a key is enough.
     """
-    ranks, keys, sizes, bags = left
+    ranks, keys, sizes, bags, chars = left
     low, high, spare = threshold, 200 - threshold, 100 - threshold
+    starts = np.cumsum(sizes) - sizes
     places, held = {}, 0
+
+    def groups(key, near):
+        """Keys to compare at once, with `single` the closest first."""
+        if len(key) < BEGIN_FROM:
+            step = FIRST if single else max(1, len(near))
+            yield from (near[i : i + step].tolist() for i in range(0, len(near), step))
+            return
+        step = max(1, int(BEGIN_BITS / (BEGIN * spare / 100 * len(key) + 1)))
+        rest = np.sort(near[FIRST:]) if single else near
+        for some in chain([near[:FIRST]] if single else [], (rest[i : i + step] for i in range(0, len(rest), step))):
+            yield some[_begin_alike(key, threshold, sizes[some], starts[some], chars)].tolist()
+
+    def matching(key, near):
+        nonlocal places, held
+        chunk, bits = [], 0
+        for j in [*near, None]:
+            if chunk and (j is None or bits + sizes[j] > CHUNK_BITS):
+                held += sum(len(keys[c]) for c in chunk if keys[c] not in places)
+                lengths = _lcs_chunk(key, [keys[c] for c in chunk], places)
+                yield from [c for c, n in zip(chunk, lengths) if 200 * n >= threshold * (len(keys[c]) + len(key))]
+                if held > HELD_CHARACTERS:
+                    places, held = {}, 0
+                chunk, bits = [], 0
+            if j is not None:
+                chunk.append(j)
+                bits += sizes[j] + 1
+
     for batch in batches:
         found = ([], [])
         own_ranks, own_keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         own_sizes, own_bags = _bags(own_keys)
         begins = np.searchsorted(sizes, -(-low * own_sizes // high), "left")
         ends = np.searchsorted(sizes, high * own_sizes // low, "right")
-        for i, (rank, key) in enumerate(zip(own_ranks, own_keys)):
+        # keys of like length in a row meet the same ones of `left`
+        for i in np.argsort(own_sizes, kind="stable").tolist():
+            rank, key = own_ranks[i], own_keys[i]
             near, gaps = [], []
             for begin in range(begins[i], ends[i], TILE):
                 some = slice(begin, min(begin + TILE, ends[i]))
-                gap = np.zeros(some.stop - begin, np.int32)
-                for slot in range(SLOTS):
-                    gap += np.abs(bags[slot, some] - own_bags[i, slot])
-                fit = 100 * gap <= spare * (sizes[some] + own_sizes[i])
+                gap = _gaps(bags, some, own_bags[i], int(own_sizes[i] + sizes[some.stop - 1]))
+                fit = 100 * gap.astype(np.int32) <= spare * (sizes[some] + own_sizes[i])
                 if ordered:
                     fit &= ranks[some] < rank
                 at = np.flatnonzero(fit)
@@ -146,22 +252,10 @@ def near_pairs(batches, left, threshold: int, ordered: bool, single: bool, names
                 continue
             if single:  # the closest first
                 near = near[np.argsort(np.concatenate(gaps), kind="stable")]
-            chunk, bits = [], 0
-            for j in [*near.tolist(), None]:
-                if chunk and (j is None or bits + sizes[j] > CHUNK_BITS or (single and len(chunk) >= 8)):
-                    held += sum(len(keys[c]) for c in chunk if keys[c] not in places)
-                    lengths = _lcs_chunk(key, [keys[c] for c in chunk], places)
-                    hits = [c for c, n in zip(chunk, lengths) if 200 * n >= threshold * (len(keys[c]) + len(key))]
-                    found[0].extend(hits[:1] if single else hits)
-                    found[1].extend([i] * (len(hits[:1]) if single else len(hits)))
-                    if held > HELD_CHARACTERS:
-                        places, held = {}, 0
-                    if single and hits:
-                        break
-                    chunk, bits = [], 0
-                if j is not None:
-                    chunk.append(j)
-                    bits += sizes[j] + 1
+            hits = chain.from_iterable(matching(key, some) for some in groups(key, near))
+            hits = list(islice(hits, 1) if single else hits)
+            found[0].extend(hits)
+            found[1].extend([i] * len(hits))
         a, b = found
         columns = [pa.array([own_ranks[i] for i in b], pa.int64())]
         if not single:

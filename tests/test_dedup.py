@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from postloom.functions import similarity
 from postloom.functions.similarity import _lcs_pairs
 from postloom.operators import dedup, fuzzy, refine
 
@@ -136,6 +138,30 @@ def test_running_text_is_not_joined_by_its_grams(spark):
     assert sig.grams_tell_apart(rare)
 
 
+@pytest.mark.parametrize("threshold", [95, 90, 85, 60, 100])
+def test_long_keys_are_compared_whole_only_where_their_beginnings_allow(threshold, monkeypatch):
+    rng = random.Random(threshold)
+    words = ["the", "then", "there", "and", "hand", "stand", "with", "width", "é", "개발"]
+    keys = [" ".join(rng.choice(words) for _ in range(rng.randint(60, 120))) for _ in range(60)]
+    for key in keys[:20]:  # copies with other beginnings, ends, and places all over
+        n, cut = len(key), int(len(key) * (100 - threshold) / 100)
+        keys += [key[cut:], key[: n - cut], "x" * cut + key[cut:], "".join(c for c in key if rng.random() > cut / n / 1.5), key[: n // 2] + "y" * cut + key[n // 2 :]]
+    keys = sorted(set(keys))
+    half = len(keys) // 2
+    common = lambda a, b: _lcs_pairs([a], [b])[0]
+    want = {(i, j) for i in range(half) for j in range(half, len(keys)) if 200 * common(keys[i], keys[j]) >= threshold * (len(keys[i]) + len(keys[j]))}
+    compared = []
+    plain = similarity._lcs_chunk
+    monkeypatch.setattr(similarity, "_lcs_chunk", lambda b, partners, places: compared.extend(partners) or plain(b, partners, places))
+    left = similarity.by_length(range(half), keys[:half])
+    batch = pa.RecordBatch.from_pydict({"rank": list(range(half, len(keys))), "key": keys[half:]})
+    found = lambda single, names: [r for b in similarity.near_pairs([batch], left, threshold, True, single, names) for r in b.to_pylist()]
+    assert {(r["a"], r["b"]) for r in found(False, ["a", "b", "ka", "kb"])} == want
+    if threshold in (90, 95):
+        assert len(compared) < len(want) + half
+    assert sorted(r["b"] for r in found(True, ["b"])) == sorted({j for _, j in want})
+
+
 def greedy(rows, threshold):
     """rows: (uid, company, title, deadline), one per uid."""
     kept = []
